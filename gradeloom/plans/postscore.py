@@ -5,7 +5,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 
 from gradeloom.lookups import MAX_TOKENS_HINT
-from gradeloom.operators.failures import failure_counts, failure_rows
+from gradeloom.operators.failures import failure_rows
 from gradeloom.operators.scoring import backfill
 from gradeloom.operators.summary import metric_rates
 from gradeloom.sources.reports import write_failures
@@ -21,6 +21,4 @@ def backfill_logs(spark: SparkSession, paths: Iterable[str], target: str, overwr
 def analyse_failures(spark: SparkSession, paths: Iterable[str], folder: str,
                      max_tokens_hint: int = MAX_TOKENS_HINT) -> DataFrame:
     """Classify the failures of CSV logs, write both reports, return the counts."""
-    failures = failure_rows(read_run_logs(spark, paths), max_tokens_hint)
-    write_failures(failures, folder)
-    return failure_counts(failures)
+    return write_failures(failure_rows(read_run_logs(spark, paths), max_tokens_hint), folder)

@@ -22,14 +22,16 @@ def write_summary(summary: DataFrame, folder: str) -> None:
     small.unpersist()
 
 
-def write_failures(failures: DataFrame, folder: str, by_model: bool | None = None) -> None:
-    """Failure rows, and their counts per group, as CSV.
+def write_failures(failures: DataFrame, folder: str, by_model: bool | None = None) -> DataFrame:
+    """Failure rows, and their counts per group, as CSV; returns the counts.
 
-    The counts read the written rows' source once more in a narrow form: keys and
-    category only.
+    The classified rows are kept while both are written, so texts are read once.
     """
-    export_csv(failures, f"{folder}/errors.csv", mode="overwrite")
-    counts = failure_counts(failures, by_model)
+    kept = failures.persist()
+    export_csv(kept, f"{folder}/errors.csv", mode="overwrite")
+    counts = failure_counts(kept, by_model)
     keys = [c for c in ("model", "dataset", "strategy") if c in counts.columns]
-    counts.repartition(1).sortWithinPartitions(*keys).write.mode("overwrite").options(**_PLAIN).csv(
-        f"{folder}/errors_summary.csv")
+    target = f"{folder}/errors_summary.csv"
+    counts.repartition(1).sortWithinPartitions(*keys).write.mode("overwrite").options(**_PLAIN).csv(target)
+    kept.unpersist()
+    return counts.sparkSession.read.schema(counts.schema).options(**_PLAIN).csv(target)
