@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gradeloom.functions.conditions import condition_label
 from gradeloom.lookups import STRATEGIES
+from gradeloom.sources.tables import read_table, spread
 
 PATHS = 5
 VECTOR_DIM = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def pick(number: Column, values: list) -> Column:
@@ -82,7 +83,7 @@ def boolean_runs(documents: DataFrame, labels: DataFrame) -> DataFrame:
         .when(style == 5, F.concat(text, F.lit("\n**Answer:** "), F.initcap(y)))
         .when(style == 6, F.concat(text, F.lit("\nAnswer: "), F.initcap(y), F.lit(", because")))
         .otherwise(F.lit("")))
-    joined = documents.select("doc_id", "text", "n_chars").join(labels.select("doc_id", "quality"), "doc_id")
+    joined = documents.join(labels.select("doc_id", "quality"), "doc_id")
     return joined.select(
         F.lit("strategyqa").alias("dataset"),
         *_row_columns(key),
@@ -95,8 +96,10 @@ def boolean_runs(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both kinds of generations in one table."""
-    boolean = boolean_runs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return numeric_runs(table(spark, sf_dir, "orders")).unionByName(boolean)
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    boolean = boolean_runs(spread(documents), table(spark, sf_dir, "labels"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return numeric_runs(spread(orders)).unionByName(boolean)
 
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +108,7 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     Turns are numbered without gaps, so the next turn is an equi-join on both
     columns and a very long conversation spreads over tasks.
     """
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     user = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("gold_text"))
     reply = turns.where("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("generation"))
@@ -121,7 +124,7 @@ def path_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     Only the first paths are asked for. Spark applies that bound before the
     shuffle (WindowGroupLimit), so an order with very many lines stays small.
     """
-    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(table(spark, sf_dir, "lineitem"))
     number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*[c for c in lines.columns if c != "l_orderkey"]))
     text = F.when(F.col("l_partkey") % 7 == 0, "").otherwise(
         F.concat(F.lit("Answer: "), (F.floor("l_quantity") % 3).cast("string")))

@@ -12,6 +12,7 @@ from gradeloom.plans import evaluation as EV
 from gradeloom.schemas import KEY, LOG_COLUMNS, LOG_V1, LOG_V2, LOG_V3, SCORE_METRICS
 from gradeloom.sources import reports, runlog
 from gradeloom.sources.scratch import scratch_path
+from gradeloom.sources.tables import spread
 from gradeloom.streaming import scoring as ST
 
 ROW = ["dataset", "sample_idx"]
@@ -86,7 +87,7 @@ def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id")
-    grid = G.with_strategies(I.table(spark, sf_dir, "documents").select(
+    grid = G.with_strategies(spread(I.table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", "text", F.explode(F.array(F.lit("GSM8K"), F.lit("strategyqa"))).alias("dataset")))
     return grid.select("doc_id", "dataset", "strategy", build_prompt(
         F.col("dataset"), F.col("strategy"), F.col("text"),
@@ -236,8 +237,10 @@ def run_log_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "logs")
     awkward = F.concat(F.lit('He said "'), F.col("question"), F.lit('" \\ twice, \U0001f600\nthen left.'))
     scored = _scored(spark, sf_dir).withColumn("question", awkward)
+    scored = scored.persist()
     for i, layout in enumerate([LOG_V1, LOG_V2, LOG_V3]):
         runlog.export_csv(scored.where(F.col("sample_idx") % 3 == i).select(*layout), f"{folder}/run_{i}")
+    scored.unpersist()
     log = runlog.read_run_logs(spark, [f"{folder}/run_*"], required=["generation", "gold_answer"])
     return log.select(*LOG_COLUMNS)
 
@@ -245,9 +248,10 @@ def run_log_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append to a log in two parts, rescore it into a new version, read that back."""
     folder = scratch_path(spark, "table")
-    scored = _scored(spark, sf_dir)
+    scored = _scored(spark, sf_dir).persist()
     for part in (0, 1):
         runlog.append_log(scored.where(F.col("sample_idx") % 2 == part), f"{folder}/v1")
+    scored.unpersist()
     runlog.write_back(SC.backfill(runlog.read_log(spark, f"{folder}/v1"), overwrite=True), f"{folder}/v2")
     return runlog.read_log(spark, f"{folder}/v2").select(*RESULT, "question", "generation", *SCORE_METRICS)
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-from gradeloom.functions.text import last_match, rstrip, strip
+from gradeloom.functions.text import bind, last_match, rstrip, strip
 from gradeloom.lookups import (
     ANSWER_LINE, ANSWER_PUNCTUATION, GOLD_MARK, NEAR_KEYWORD, NUMBER, SPACE_CHAR, YES_NO_WORD,
 )
@@ -32,9 +32,14 @@ def numeric_answer(text: Column) -> Column:
 
 def boolean_answer(text: Column) -> Column:
     """yes / no: answer line, conclusion phrase, final word, last such word; '' if none."""
-    lowered = strip(F.lower(text))
     line = F.rtrim(strip(F.lower(answer_line(text))), F.lit(ANSWER_PUNCTUATION))
     first = F.regexp_extract(line, f"^[^{SPACE_CHAR}]+", 0)
+    from_line = F.when(first.isin("yes", "true"), "yes").when(first.isin("no", "false"), "no")
+    return F.coalesce(from_line, bind(strip(F.lower(text)), _unmarked_boolean), F.lit(""))
+
+
+def _unmarked_boolean(lowered: Column) -> Column:
+    """yes / no of a lower-cased text without a usable answer line."""
     ending = rstrip(F.rtrim(lowered, F.lit(ANSWER_PUNCTUATION)))
     # Four characters show whether the last word is exactly yes or no.
     final = F.regexp_extract(F.right(ending, F.lit(4)), f"(?:^|[{SPACE_CHAR}])(yes|no)$", 1)
@@ -44,11 +49,9 @@ def boolean_answer(text: Column) -> Column:
                 | F.contains(lowered, F.lit(f"therefore, {word}")))
 
     return F.coalesce(
-        F.when(first.isin("yes", "true"), "yes").when(first.isin("no", "false"), "no"),
         F.when(says("yes"), "yes").when(says("no"), "no"),
-        F.when(final != "", final),
+        F.nullif(final, F.lit("")),
         last_match(lowered, YES_NO_WORD, 1),
-        F.lit(""),
     )
 
 

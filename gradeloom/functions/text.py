@@ -1,5 +1,7 @@
 """String and rounding helpers with Python's semantics."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from gradeloom.lookups import WORD
@@ -25,6 +27,11 @@ def empty_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased Unicode words."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))

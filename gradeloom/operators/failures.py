@@ -18,17 +18,18 @@ def failure_rows(log: DataFrame, max_tokens_hint: int = MAX_TOKENS_HINT) -> Data
     return failed.withColumn("category", category).withColumn("model", condition_model(condition))
 
 
-def has_several_models(failures: DataFrame) -> bool:
-    return failures.select("model").distinct().limit(2).count() > 1
-
-
 def failure_counts(failures: DataFrame, by_model: bool | None = None) -> DataFrame:
     """Failures per (dataset, strategy) and category, per model too if there are several.
 
-    ``by_model`` decides without the small job that looks for a second model.
+    Left open, ``by_model`` is decided on the counts themselves (one row per model
+    and cell, kept for the purpose), so the failures are read once.
     """
+    cell = ["dataset", "strategy"]
+    counts = (failures.groupBy("model", *cell).pivot("category", FAILURE_CATEGORIES).count()
+              .na.fill(0, FAILURE_CATEGORIES))
     if by_model is None:
-        by_model = has_several_models(failures)
-    keys = (["model"] if by_model else []) + ["dataset", "strategy"]
-    return (failures.groupBy(*keys).pivot("category", FAILURE_CATEGORIES).count()
-            .na.fill(0, FAILURE_CATEGORIES))
+        counts = counts.persist()
+        by_model = counts.select("model").distinct().limit(2).count() > 1
+    if by_model:
+        return counts
+    return counts.groupBy(*cell).agg(*[F.sum(c).alias(c) for c in FAILURE_CATEGORIES])

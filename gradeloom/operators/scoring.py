@@ -3,23 +3,32 @@
 from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.functions import metrics as M
-from gradeloom.functions.extract import extract_answer
+from gradeloom.functions.extract import extract_answer, gold_answer, gold_text
 from gradeloom.functions.similarity import embedding_f1
 from gradeloom.functions.text import py_round, tokens
-from gradeloom.operators.samples import with_gold
 from gradeloom.schemas import LOG_TYPES, RUN_LOG, SCORE_METRICS
 
 
-def predict(rows: DataFrame) -> DataFrame:
-    """Add the extracted answer where the rows do not carry one (a vote) yet."""
+def with_answers(rows: DataFrame) -> DataFrame:
+    """Add gold and predicted answer; a prediction the rows carry (a vote) is kept.
+
+    Both come out of a one-row generator: later filters on the results then stay
+    above the extraction, where the optimizer would otherwise repeat its regular
+    expressions once per use in the pushed-down filter.
+    """
+    gold = gold_answer(F.col("answer_raw"), F.col("dataset")).alias("gold_answer")
     if "predicted_answer" in rows.columns:
-        return rows
-    return rows.withColumn("predicted_answer", extract_answer(F.col("generation"), F.col("dataset")))
+        answers = F.struct(gold)
+    else:
+        predicted = extract_answer(F.col("generation"), F.col("dataset"))
+        answers = F.struct(gold, predicted.alias("predicted_answer"))
+    return rows.select("*", F.inline(F.array(answers))).withColumn(
+        "gold_text", gold_text(F.col("answer_raw"), F.col("gold_answer"), F.col("dataset")))
 
 
 def exact_match_rows(rows: DataFrame) -> DataFrame:
     """Gold, prediction, exact match, parse failure and token total of each row."""
-    return (predict(with_gold(rows))
+    return (with_answers(rows)
             .withColumn("is_correct", M.exact_match(F.col("predicted_answer"), F.col("gold_answer")))
             .withColumn("parse_failed", M.parse_failed(F.col("predicted_answer")))
             .withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens")))
