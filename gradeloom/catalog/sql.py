@@ -416,9 +416,11 @@ from scored"""
 _REWRITTEN = _BACKFILLED + f"""
 select {_RESULT}, question, generation, s substring_match, c is_numeric_close, f token_f1, l rouge_l from fresh"""
 
-_EM_PIVOT = """
-select strategy, avg(em) filter (dataset = 'gsm8k') gsm8k, avg(em) filter (dataset = 'strategyqa') strategyqa
-from (select dataset, strategy, condition, sum(is_correct)::double / count(*) * 100e0 em from exact group by all) group by 1"""
+_EM_PIVOT = f"""
+select strategy, {rounded('a', 6)} gsm8k, {rounded('b', 6)} strategyqa
+from (
+select strategy, avg(em) filter (dataset = 'gsm8k') a, avg(em) filter (dataset = 'strategyqa') b
+from (select dataset, strategy, condition, sum(is_correct)::double / count(*) * 100e0 em from exact group by all) group by 1)"""
 
 _REQUESTED = f"""
 select s.*, n n_requested from ({summary('scored', 'dataset, strategy, condition')}) s"""

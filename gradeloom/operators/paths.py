@@ -39,7 +39,7 @@ def attach_generations(prompts: DataFrame, generations: DataFrame, max_paths: in
 def explode_paths(attached: DataFrame) -> DataFrame:
     """One row per path of an attached table."""
     others = [c for c in attached.columns if c != "texts"]
-    return attached.select(*others, F.posexplode("texts").alias("path_no", "text"))
+    return attached.select(*others, F.posexplode_outer("texts").alias("path_no", "text"))
 
 
 def vote_paths(attached: DataFrame) -> DataFrame:

@@ -108,8 +108,8 @@ def model_summary(scored: DataFrame) -> DataFrame:
 
 
 def em_pivot(summary: DataFrame, datasets: Iterable[str] = DATASETS) -> DataFrame:
-    """Mean exact match: strategies down, datasets across."""
-    return summary.groupBy("strategy").pivot("dataset", list(datasets)).agg(F.avg("em"))
+    """Mean exact match with six decimals: strategies down, datasets across."""
+    return summary.groupBy("strategy").pivot("dataset", list(datasets)).agg(py_round(F.avg("em"), 6))
 
 
 def dataset_em(rows: DataFrame) -> DataFrame:
