@@ -3,6 +3,7 @@
 import warnings
 from collections.abc import Iterable
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -46,7 +47,7 @@ def find_layouts(spark: SparkSession, paths: Iterable[str]) -> list[tuple[list[s
     headers = raw.where(named[0] & named[1] & named[2]).select(
         cells.alias("header"), F.col("_metadata.file_path").alias("file"))
     rows = headers.groupBy("header").agg(F.collect_set("file").alias("files")).collect()
-    layouts = [(list(r["header"]), sorted(r["files"])) for r in rows]
+    layouts = [(list(r["header"]), sorted(unquote(f) for f in r["files"])) for r in rows]
     listed = len(raw.inputFiles())
     kept = sum(len(files) for _, files in layouts)
     if kept < listed:
@@ -83,9 +84,13 @@ def read_run_logs(spark: SparkSession, paths: Iterable[str],
         raw = spark.read.schema(schema).options(**_CSV, header=True).csv(files)
         known = [_typed(c, LOG_TYPES[c]).alias(c) for c in header if c in LOG_TYPES]
         frames.append(raw.select(*known, F.col("_metadata.file_name").alias("source_file")))
-    empty = spark.createDataFrame([], T.StructType([*RUN_LOG.fields, T.StructField("source_file", T.StringType())]))
-    log = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames, empty)
-    return log.withColumns({c: F.coalesce(c, F.lit("")) for c in ("generation", "predicted_answer")})
+    if not frames:
+        return spark.createDataFrame([], T.StructType([*RUN_LOG.fields, T.StructField("source_file", T.StringType())]))
+    log = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    blank = ("generation", "predicted_answer")
+    fields = [(F.col(c) if c in log.columns else F.lit(None).cast(LOG_TYPES[c])).alias(c) for c in RUN_LOG.names]
+    extra = [c for c in log.columns if c not in RUN_LOG.names]
+    return log.select(*fields, *extra).withColumns({c: F.coalesce(c, F.lit("")) for c in blank})
 
 
 def export_csv(log: DataFrame, path: str, mode: str = "errorifexists") -> None:

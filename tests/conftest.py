@@ -24,3 +24,8 @@ def make_session():
 @pytest.fixture(scope="session")
 def spark():
     return make_session()
+
+
+def pytest_configure(config):
+    # Column expressions at module level need a running session.
+    make_session()
