@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gradeloom.functions.extract import extract_answer
 from gradeloom.functions.votes import join_paths, vote
+from gradeloom.operators.once import compute_once
 from gradeloom.schemas import KEY
 
 
@@ -45,9 +46,8 @@ def explode_paths(attached: DataFrame) -> DataFrame:
 def vote_paths(attached: DataFrame) -> DataFrame:
     """Turn the texts of each row into one generation and one predicted answer."""
     dataset = F.col("dataset")
-    return (attached
-            .withColumn("answers", F.transform("texts", lambda t: extract_answer(t, dataset)))
-            .withColumn("predicted_answer", vote(F.col("answers")))
+    extracted = compute_once(attached, answers=F.transform("texts", lambda t: extract_answer(t, dataset)))
+    return (compute_once(extracted, predicted_answer=vote(F.col("answers")))
             .withColumn("generation", join_paths(F.col("texts")))
             .drop("answers", "texts"))
 

@@ -6,23 +6,16 @@ from gradeloom.functions import metrics as M
 from gradeloom.functions.extract import extract_answer, gold_answer, gold_text
 from gradeloom.functions.similarity import embedding_f1
 from gradeloom.functions.text import py_round, tokens
+from gradeloom.operators.once import compute_once
 from gradeloom.schemas import LOG_TYPES, RUN_LOG, SCORE_METRICS
 
 
 def with_answers(rows: DataFrame) -> DataFrame:
-    """Add gold and predicted answer; a prediction the rows carry (a vote) is kept.
-
-    Both come out of a one-row generator: later filters on the results then stay
-    above the extraction, where the optimizer would otherwise repeat its regular
-    expressions once per use in the pushed-down filter.
-    """
-    gold = gold_answer(F.col("answer_raw"), F.col("dataset")).alias("gold_answer")
-    if "predicted_answer" in rows.columns:
-        answers = F.struct(gold)
-    else:
-        predicted = extract_answer(F.col("generation"), F.col("dataset"))
-        answers = F.struct(gold, predicted.alias("predicted_answer"))
-    return rows.select("*", F.inline(F.array(answers))).withColumn(
+    """Add gold and predicted answer; a prediction the rows carry (a vote) is kept."""
+    answers = {"gold_answer": gold_answer(F.col("answer_raw"), F.col("dataset"))}
+    if "predicted_answer" not in rows.columns:
+        answers["predicted_answer"] = extract_answer(F.col("generation"), F.col("dataset"))
+    return compute_once(rows, **answers).withColumn(
         "gold_text", gold_text(F.col("answer_raw"), F.col("gold_answer"), F.col("dataset")))
 
 
@@ -36,13 +29,10 @@ def exact_match_rows(rows: DataFrame) -> DataFrame:
 
 def _with_overlap(rows: DataFrame, reference: str) -> DataFrame:
     """token_f1 and rouge_l of ``generation`` against a reference column."""
-    return (rows
-            .withColumn("_p", tokens(F.col("generation")))
-            .withColumn("_r", tokens(F.col(reference)))
-            .withColumn("_common", M.common_tokens(F.col("_p"), F.col("_r")))
-            .withColumn("_lcs", M.lcs_length(F.col("_p"), F.col("_r")))
-            .withColumn("_n", F.size("_p"))
-            .withColumn("_m", F.size("_r"))
+    p, r = F.col("_p"), F.col("_r")
+    split = compute_once(rows, _p=tokens(F.col("generation")), _r=tokens(F.col(reference)))
+    counted = compute_once(split, _common=M.common_tokens(p, r), _lcs=M.lcs_length(p, r), _n=F.size(p), _m=F.size(r))
+    return (counted
             .withColumn("token_f1", M.f1(F.col("_common"), F.col("_n"), F.col("_m")))
             .withColumn("rouge_l", M.f1(F.col("_lcs"), F.col("_n"), F.col("_m")))
             .drop("_p", "_r", "_common", "_lcs", "_n", "_m"))
