@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from gradeloom.functions.extract import gold_answer, gold_text
+from gradeloom.sources.tables import join_per_file
 
 
 def with_row_position(df: DataFrame, column: str = "sample_idx") -> DataFrame:
@@ -16,7 +17,7 @@ def with_row_position(df: DataFrame, column: str = "sample_idx") -> DataFrame:
     sizes = df.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count("*").alias("_rows"))
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    return (placed.join(starts, "_file")
+    return (join_per_file(placed, starts, len(df.inputFiles()))
             .withColumn(column, F.col("_start") + F.col("_row"))
             .drop("_file", "_row", "_start"))
 

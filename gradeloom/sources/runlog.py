@@ -3,13 +3,13 @@
 import warnings
 from collections.abc import Iterable
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gradeloom.functions.text import flatten_newlines
 from gradeloom.schemas import LOG_TYPES, RUN_LOG
+from gradeloom.sources.tables import join_per_file
 
 # Quotes are doubled, fields may span lines, blanks belong to the text.
 _CSV = {
@@ -30,33 +30,28 @@ def _readable(spark: SparkSession, paths: Iterable[str]) -> list[str]:
     return found
 
 
-def find_layouts(spark: SparkSession, paths: Iterable[str]) -> list[tuple[list[str], list[str]]]:
-    """Header -> files, for the logs found under paths or globs.
-
-    One scan keeps only the header row of each file. Its result has one entry per
-    file, like the file listing Spark itself holds. Pass the layouts to
-    ``read_run_logs`` to save this scan.
-    """
-    found = _readable(spark, paths)
-    if not found:
-        return []
+def _wide_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """CSV rows as they come, headers included: an array of fields and the file."""
     wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(_WIDEST)])
-    raw = spark.read.schema(wide).options(**_CSV, ignoreCorruptFiles=True).csv(found)
-    cells = F.array_compact(F.array(*wide.names))
+    raw = spark.read.schema(wide).options(**_CSV).csv(paths)
+    return raw.select(F.array(*wide.names).alias("_cells"), F.col("_metadata.file_path").alias("_file"),
+                      F.col("_metadata.file_name").alias("source_file"))
+
+
+def _is_header(cells: Column) -> Column:
     named = [F.array_contains(cells, name) for name in ("dataset", "strategy", "sample_idx")]
-    headers = raw.where(named[0] & named[1] & named[2]).select(
-        cells.alias("header"), F.col("_metadata.file_path").alias("file"))
-    rows = headers.groupBy("header").agg(F.collect_set("file").alias("files")).collect()
-    layouts = [(list(r["header"]), sorted(unquote(f) for f in r["files"])) for r in rows]
-    listed = len(raw.inputFiles())
-    kept = sum(len(files) for _, files in layouts)
-    if kept < listed:
-        warnings.warn(f"Skipped {listed - kept} of {listed} files: no readable run-log header.")
-    return layouts
-
-
-def _typed(name: str, kind: T.DataType) -> Column:
-    value = F.col(name)
+    # array_contains is NULL rather than false where a field is NULL.
+    return F.coalesce(named[0] & named[1] & named[2], F.lit(False))
+
+
+def _column_places(rows: DataFrame) -> DataFrame:
+    """File -> place of each known column in it (NULL where it has none)."""
+    headers = rows.where(_is_header(F.col("_cells")))
+    place = lambda name: F.nullif(F.array_position("_cells", name), F.lit(0)).alias(f"_at_{name}")
+    return headers.select("_file", *[place(name) for name in LOG_TYPES]).dropDuplicates(["_file"])
+
+
+def _typed(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType):
         return value
     if isinstance(kind, T.DoubleType):
@@ -65,32 +60,38 @@ def _typed(name: str, kind: T.DataType) -> Column:
     return F.coalesce(value.try_cast("long"), value.try_cast("double").try_cast("long")).cast(kind)
 
 
-def read_run_logs(spark: SparkSession, paths: Iterable[str],
-                  layouts: list[tuple[list[str], list[str]]] | None = None,
+def read_run_logs(spark: SparkSession, paths: Iterable[str], layout: list[str] | None = None,
                   required: Iterable[str] = ()) -> DataFrame:
-    """CSV run logs of any layout as one frame, tagged with ``source_file``.
+    """CSV run logs as one frame, tagged with ``source_file``.
 
+    Logs of any layout may be mixed: a first scan keeps the header row of each
+    file, and every row then takes its fields from the places its own header
+    names. Give the ``layout`` of logs that are all alike to save that scan.
     Columns a file lacks are NULL. An empty ``generation`` or ``predicted_answer``
-    is the empty string; empty metrics stay NULL. Files without the ``required``
-    columns are skipped with a warning.
+    is the empty string; empty metrics stay NULL. Files without a header or
+    without the ``required`` columns are skipped with a warning.
     """
-    frames = []
-    for header, files in layouts if layouts is not None else find_layouts(spark, paths):
-        missing = [c for c in required if c not in header]
-        if missing:
-            warnings.warn(f"Skipped {len(files)} files without {', '.join(missing)}.")
-            continue
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        raw = spark.read.schema(schema).options(**_CSV, header=True).csv(files)
-        known = [_typed(c, LOG_TYPES[c]).alias(c) for c in header if c in LOG_TYPES]
-        frames.append(raw.select(*known, F.col("_metadata.file_name").alias("source_file")))
-    if not frames:
-        return spark.createDataFrame([], T.StructType([*RUN_LOG.fields, T.StructField("source_file", T.StringType())]))
-    log = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    blank = ("generation", "predicted_answer")
-    fields = [(F.col(c) if c in log.columns else F.lit(None).cast(LOG_TYPES[c])).alias(c) for c in RUN_LOG.names]
-    extra = [c for c in log.columns if c not in RUN_LOG.names]
-    return log.select(*fields, *extra).withColumns({c: F.coalesce(c, F.lit("")) for c in blank})
+    found = _readable(spark, paths)
+    if not found:
+        names = T.StructType([T.StructField(n, t) for n, t in LOG_TYPES.items()])
+        return spark.createDataFrame([], names.add("source_file", "string"))
+    if layout is not None:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in layout])
+        rows = spark.read.schema(schema).options(**_CSV, header=True).csv(found)
+        rows = rows.withColumn("source_file", F.col("_metadata.file_name"))
+        field = lambda name: F.col(name) if name in layout else F.lit(None).cast("string")
+    else:
+        raw = _wide_rows(spark, found)
+        listed = len(raw.inputFiles())
+        places = _column_places(raw)
+        usable = reduce(lambda a, c: a & F.col(f"_at_{c}").isNotNull(), required, F.lit(True))
+        kept = places.where(usable).count()
+        if kept < listed:
+            warnings.warn(f"Skipped {listed - kept} of {listed} files: no run-log header with the required columns.")
+        rows = join_per_file(raw.where(~_is_header(F.col("_cells"))), places.where(usable), listed)
+        field = lambda name: F.get("_cells", F.col(f"_at_{name}").cast("int") - 1)
+    log = rows.select(*[_typed(field(n), t).alias(n) for n, t in LOG_TYPES.items()], "source_file")
+    return log.withColumns({c: F.coalesce(c, F.lit("")) for c in ("generation", "predicted_answer")})
 
 
 def export_csv(log: DataFrame, path: str, mode: str = "errorifexists") -> None:

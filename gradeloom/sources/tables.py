@@ -1,6 +1,10 @@
 """Plain table scans."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+# A table with one short row per file is broadcast up to this many files (some
+# tens of megabytes); beyond it Spark shuffles both sides and splits skewed files.
+MAX_BROADCAST_FILES = 200_000
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -14,5 +18,10 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def join_per_file(rows: DataFrame, per_file: DataFrame, files: int) -> DataFrame:
+    """Join a table with one row per file, on ``_file``."""
+    return rows.join(F.broadcast(per_file) if files <= MAX_BROADCAST_FILES else per_file, "_file")
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -36,7 +36,10 @@ def score_stream(rows: DataFrame, sink: str, checkpoint: str, totals: str | None
         query_id = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
         place = f"query_id={query_id}/batch_id={batch_id}"
         this_batch = (F.col("query_id") == query_id) & (F.col("batch_id") >= batch_id)
-        known = read_scores(spark, sink).where(~this_batch).select(*KEY)
+        logged = read_scores(spark, sink).where(~this_batch).select(*KEY)
+        # Keys of this batch that are known: a small batch is broadcast to the scan
+        # of the log, which then needs no shuffle.
+        known = logged.join(batch.select(*KEY).distinct(), KEY, "left_semi").distinct()
         fresh = batch.dropDuplicates(KEY).join(known, KEY, "left_anti")
         scored = score_rows(fresh)
         scored.write.mode("overwrite").partitionBy("dataset", "strategy").parquet(f"{sink}/{place}")

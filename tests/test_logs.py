@@ -50,7 +50,7 @@ def logs(tmp_path):
 def read(spark, folder):
     with pytest.warns(UserWarning) as seen:
         log = runlog.read_run_logs(spark, [f"{folder}/run_*.csv", f"{folder}/none_*.csv"], required=["generation", "gold_answer"])
-    assert len([w for w in seen if "Skipped" in str(w.message)]) == 3, [str(w.message) for w in seen]
+    assert len([w for w in seen if "Skipped" in str(w.message)]) == 2, [str(w.message) for w in seen]
     return log
 
 
@@ -65,6 +65,14 @@ def test_logs_of_all_layouts_read_as_one(spark, logs):
     assert rows[6]["substring_match"] == 1 and rows[6]["bertscore_f1"] == 0.75
 
 
+def test_logs_of_a_given_layout(spark, logs):
+    log = runlog.read_run_logs(spark, [f"{logs}/run_2.csv"], layout=LOG_V2)
+    assert log.schema == read(spark, logs).schema
+    rows = {r["sample_idx"]: r for r in log.collect()}
+    assert rows[2]["question"] == 'Is "2" \\ a\nnumber, 🙂?' and rows[3]["predicted_answer"] == ""
+    assert rows[2]["latency_s"] == 0.5 and rows[2]["token_f1"] is None
+
+
 def test_no_log_found(spark, tmp_path):
     with pytest.warns(UserWarning):
         assert runlog.read_run_logs(spark, [f"{tmp_path}/none.csv"]).count() == 0
