@@ -161,7 +161,7 @@ def pending_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evaluate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.evaluate(
-        I.path_samples(spark, sf_dir), I.path_generations(spark, sf_dir), max_paths=I.PATHS,
+        I.path_samples(spark, sf_dir), I.path_generations(spark, sf_dir),
         conditions=[I.PATH_CONDITION], strategies=["zero_shot_cot"]).select(
             *RESULT, "generation", *SCORE_METRICS, "latency_s")
 

@@ -10,6 +10,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gradeloom.functions.conditions import condition_model, condition_without_model
+from gradeloom.functions.prompts import checked_dataset
 from gradeloom.functions.text import py_round
 from gradeloom.lookups import DATASETS
 
@@ -113,9 +114,13 @@ def em_pivot(summary: DataFrame, datasets: Iterable[str] = DATASETS) -> DataFram
 
 
 def dataset_em(rows: DataFrame) -> DataFrame:
-    """Exact match per dataset in percent."""
-    return rows.groupBy("dataset").agg(
-        F.count("*").alias("n"), (F.sum("is_correct") / F.count("*") * 100.0).alias("em"))
+    """Exact match of each known dataset in percent, 0.0 without rows; unknown names fail."""
+    name = checked_dataset(F.col("dataset"))
+    counted = rows.select(name.alias("name"), "is_correct").agg(*[
+        F.struct(F.lit(d).alias("dataset"), F.count_if(F.col("name") == d).alias("n"),
+                 F.coalesce(F.avg(F.when(F.col("name") == d, F.col("is_correct"))) * 100.0, F.lit(0.0)).alias("em"),
+                 ).alias(d) for d in DATASETS])
+    return counted.select(F.inline(F.array(*DATASETS)))
 
 
 def metric_rates(log: DataFrame) -> DataFrame:

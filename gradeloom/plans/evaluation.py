@@ -4,7 +4,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
-from gradeloom.lookups import STRATEGIES
+from gradeloom.lookups import BASE_CONDITION, STRATEGIES
 from gradeloom.operators.grid import sweep, with_conditions, with_prompt, with_strategies
 from gradeloom.operators.paths import attach_generations, vote_paths
 from gradeloom.operators.resume import pending
@@ -13,12 +13,19 @@ from gradeloom.operators.scoring import score_rows
 
 
 def experiment_grid(samples: DataFrame, conditions: Iterable[dict] | None = None, dims: Iterable[str] | None = None,
-                    strategies: Iterable[str] = STRATEGIES, max_samples: int | None = None) -> DataFrame:
-    """Samples times strategies times conditions: a list of them, or a sweep over dims."""
+                    base: dict | None = None, strategies: Iterable[str] = STRATEGIES,
+                    max_samples: int | None = None) -> DataFrame:
+    """Samples times strategies times conditions: a list of them, or a sweep over dims from a base."""
     rows = with_strategies(first_n(samples, max_samples), strategies)
     if dims is not None:
-        return sweep(rows, dims)
-    return with_conditions(rows, conditions if conditions is not None else [{}])
+        return sweep(rows, dims, base)
+    return with_conditions(rows, [base or {}] if conditions is None else conditions)
+
+
+def most_paths(conditions: Iterable[dict] | None = None, base: dict | None = None, **_) -> int:
+    """The largest number of paths a condition of the grid asks for."""
+    cells = [base or {}] if conditions is None else list(conditions)
+    return max(1, *[c.get("self_consistency", BASE_CONDITION["self_consistency"]) for c in cells])
 
 
 def pending_prompts(samples: DataFrame, log: DataFrame | None = None, **grid) -> DataFrame:
@@ -33,10 +40,9 @@ def pending_prompts(samples: DataFrame, log: DataFrame | None = None, **grid) ->
     return with_prompt(keys.join(samples, ["dataset", "sample_idx"]))
 
 
-def evaluate(samples: DataFrame, generations: DataFrame, log: DataFrame | None = None, max_paths: int = 1,
-             **grid) -> DataFrame:
+def evaluate(samples: DataFrame, generations: DataFrame, log: DataFrame | None = None, **grid) -> DataFrame:
     """Scored rows of every grid cell from the recorded generations."""
     cells = experiment_grid(samples, **grid)
     if log is not None:
         cells = pending(cells, log)
-    return score_rows(vote_paths(attach_generations(cells, generations, max_paths)))
+    return score_rows(vote_paths(attach_generations(cells, generations, most_paths(**grid))))

@@ -33,7 +33,10 @@ def score_stream(rows: DataFrame, sink: str, checkpoint: str, totals: str | None
     """
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        # Stays the same when the query restarts from its checkpoint.
         query_id = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if query_id is None:
+            raise RuntimeError("The id of the streaming query is not known.")
         place = f"query_id={query_id}/batch_id={batch_id}"
         this_batch = (F.col("query_id") == query_id) & (F.col("batch_id") >= batch_id)
         logged = read_scores(spark, sink).where(~this_batch).select(*KEY)

@@ -185,7 +185,9 @@ def test_summary(spark, tmp_path):
     assert (model["model"], model["max_latency_s"]) == ("m/1", 0.5) and "model=" not in model["condition"]
     pivot = SU.em_pivot(SU.condition_summary(scored)).collect()
     assert pivot == [("zero_shot_cot", 33.333333, None)]
-    assert SU.dataset_em(scored).collect()[0]["em"] == 1 / 3 * 100
+    assert SU.dataset_em(scored).collect() == [("gsm8k", 3, 1 / 3 * 100), ("strategyqa", 0, 0.0)]
+    with pytest.raises(Exception, match="Unknown dataset"):
+        SU.dataset_em(scored.withColumn("dataset", F.lit("other"))).collect()
     reports.write_summary(SU.condition_summary(scored), str(tmp_path))
     names = os.listdir(tmp_path / "summary.json")
     part = [n for n in names if n.endswith(".json")]

@@ -60,7 +60,7 @@ def test_each_prompt_gets_exactly_n_texts(spark):
 
 
 def test_evaluation_end_to_end(spark):
-    scored = EV.evaluate(samples(spark), generations(spark), max_paths=3, conditions=CELL)
+    scored = EV.evaluate(samples(spark), generations(spark), conditions=CELL)
     rows = {(r["strategy"], r["sample_idx"]): r for r in scored.collect()}
     assert len(rows) == 12
     first = rows["zero_shot_cot", 0]
@@ -68,8 +68,7 @@ def test_evaluation_end_to_end(spark):
     assert first["generation"] == "Answer: 0 ||| Answer: 9 ||| Answer: 0"
     assert rows["zero_shot_cot", 1]["is_correct"] == 1
     assert rows["standard_few_shot", 1]["parse_failed"] == 1
-    resumed = EV.evaluate(samples(spark), generations(spark), log=scored.where("sample_idx < 3"), max_paths=3,
-                          conditions=CELL)
+    resumed = EV.evaluate(samples(spark), generations(spark), log=scored.where("sample_idx < 3"), conditions=CELL)
     assert {r["sample_idx"] for r in resumed.collect()} == {3}
 
 
@@ -83,3 +82,9 @@ def test_resume_and_legacy_logs(spark):
     assert sorted(r["sample_idx"] for r in R.pending(grid, new).collect()) == [1, 2]
     prompts = EV.pending_prompts(samples(spark), new, conditions=CELL, strategies=["zero_shot_cot"])
     assert sorted((r["sample_idx"], r["prompt"][:5]) for r in prompts.collect()) == [(i, f"Q: q{i}") for i in (1, 2, 3)]
+
+
+def test_most_paths_covers_every_condition():
+    assert EV.most_paths() == 1
+    assert EV.most_paths([{"self_consistency": 4}, {}]) == 4
+    assert EV.most_paths(base={"self_consistency": 7}, dims=["structured"]) == 7
