@@ -3,7 +3,7 @@
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-from gradeloom.functions.text import empty_to_null, strip
+from gradeloom.functions.text import bind, empty_to_null, strip
 from gradeloom.lookups import FLOAT_TEXT, NUMERIC_TOLERANCE
 
 
@@ -45,12 +45,21 @@ def f1(common: Column, p_size: Column, r_size: Column) -> Column:
     return F.when(common > 0, 2.0 * precision * recall / (precision + recall)).otherwise(0.0)
 
 
-def common_tokens(p: Column, r: Column) -> Column:
-    """Size of the multiset intersection of two token arrays, within the row.
+# Up to this many different shared words they are counted one by one: each count
+# is a tight loop over both arrays, while the single pass of ``_merged_hits`` costs
+# the same as some hundreds of such loops.
+_FEW_SHARED_WORDS = 256
 
-    Both arrays are merged and sorted once; one pass then matches every token of
-    ``r`` with a not yet used equal token of ``p``, which sorts before it.
-    """
+
+def _counted_hits(shared: Column, p: Column, r: Column) -> Column:
+    """Sum over the shared words of the smaller of their two counts."""
+    times = lambda tokens, word: F.size(tokens) - F.size(F.array_remove(tokens, word))
+    return F.aggregate(shared, F.lit(0), lambda hits, word: hits + F.least(times(p, word), times(r, word)))
+
+
+def _merged_hits(p: Column, r: Column) -> Column:
+    """One pass over both arrays, merged and sorted: every token of ``r`` takes a not
+    yet used equal token of ``p``, which sorts before it."""
     side = lambda tokens, flag: F.transform(
         tokens, lambda t: F.struct(t.alias("token"), F.lit(flag).alias("side")))
     merged = F.sort_array(F.concat(side(p, 0), side(r, 1)))
@@ -63,15 +72,27 @@ def common_tokens(p: Column, r: Column) -> Column:
         return F.struct(
             item["token"].alias("token"), (free + gained - hit).alias("free"), (state["hits"] + hit).alias("hits"))
 
-    counted = F.aggregate(merged, start, step, lambda state: state["hits"])
-    return (F.when(~F.arrays_overlap(p, r), 0)
-            .when((F.size(p) == 1) | (F.size(r) == 1), 1)
-            .otherwise(counted))
+    return F.aggregate(merged, start, step, lambda state: state["hits"])
+
+
+def common_tokens(p: Column, r: Column) -> Column:
+    """Size of the multiset intersection of two token arrays, within the row."""
+    def hits(shared: Column) -> Column:
+        return (F.when(F.size(shared) == 0, 0)
+                .when((F.size(p) == 1) | (F.size(r) == 1), 1)
+                .when(F.size(shared) <= _FEW_SHARED_WORDS, _counted_hits(shared, p, r))
+                .otherwise(_merged_hits(p, r)))
+
+    return bind(F.array_intersect(p, r), hits)
 
 
 def token_f1(p: Column, r: Column) -> Column:
-    """Word F1 of two token arrays; 0.0 without overlap."""
-    return f1(common_tokens(p, r), F.size(p), F.size(r))
+    """Word F1 of two token arrays; 0.0 without overlap.
+
+    The arrays are used more than once: pass columns, not the expressions that
+    make them (``operators.scoring.with_overlap`` does so for whole tables).
+    """
+    return bind(common_tokens(p, r), lambda common: f1(common, F.size(p), F.size(r)))
 
 
 def _lcs_words(left: Column, right: Column) -> Column:
@@ -113,5 +134,5 @@ def lcs_length(p: Column, r: Column) -> Column:
 
 
 def rouge_l(p: Column, r: Column) -> Column:
-    """ROUGE-L F1 of two token arrays; 0.0 without a common subsequence."""
+    """ROUGE-L F1 of two token arrays; 0.0 without a common subsequence. Pass columns."""
     return f1(lcs_length(p, r), F.size(p), F.size(r))

@@ -27,7 +27,7 @@ def exact_match_rows(rows: DataFrame) -> DataFrame:
             .withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens")))
 
 
-def _with_overlap(rows: DataFrame, reference: str) -> DataFrame:
+def with_overlap(rows: DataFrame, reference: str) -> DataFrame:
     """token_f1 and rouge_l of ``generation`` against a reference column."""
     p, r = F.col("_p"), F.col("_r")
     split = compute_once(rows, _p=tokens(F.col("generation")), _r=tokens(F.col(reference)))
@@ -45,7 +45,7 @@ def score_rows(rows: DataFrame) -> DataFrame:
     """
     predicted, gold = F.col("predicted_answer"), F.col("gold_answer")
     close = F.when(F.col("dataset") == "gsm8k", M.numeric_close(predicted, gold)).otherwise(0)
-    scored = (_with_overlap(exact_match_rows(rows), "gold_text")
+    scored = (with_overlap(exact_match_rows(rows), "gold_text")
               .withColumn("substring_match",
                           M.substring_match(M.prediction_or_text(predicted, F.col("generation")), gold))
               .withColumn("is_numeric_close", close)
@@ -82,7 +82,7 @@ def backfill(log: DataFrame, overwrite: bool = False) -> DataFrame:
             .withColumn("gold", F.when(F.col("_todo"), gold))
             .withColumn("predicted", F.when(F.col("_todo"), predicted)))
     close = F.when(F.col("_old.dataset") == "gsm8k", M.numeric_close(F.col("predicted"), F.col("gold"))).otherwise(0)
-    scored = (_with_overlap(rows, "gold")
+    scored = (with_overlap(rows, "gold")
               .withColumn(fresh["substring_match"], M.substring_match(
                   M.prediction_or_text(F.col("predicted"), F.col("generation")), F.col("gold")))
               .withColumn(fresh["is_numeric_close"], close)

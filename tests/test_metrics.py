@@ -65,6 +65,9 @@ def table_lcs(a, b):
 def test_overlap_against_brute_force(spark):
     rng = random.Random(7)
     rows = []
+    many = [f"w{i}" for i in range(500)]
+    for _ in range(3):  # more shared words than are counted one by one
+        rows.append(tuple(" ".join(rng.choice(many) for _ in range(900)) for _ in range(2)))
     for _ in range(300):
         words = "a b c d e f g h".split()[: rng.randint(1, 8)]
         rows.append(tuple(" ".join(rng.choice(words) for _ in range(rng.randint(0, 90))) for _ in range(2)))
