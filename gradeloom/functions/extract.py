@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-from gradeloom.functions.text import bind, last_match, rstrip, strip
+from gradeloom.functions.text import bind, empty_to_null, last_match, rstrip, strip
 from gradeloom.lookups import (
     ANSWER_LINE, ANSWER_PUNCTUATION, GOLD_MARK, NEAR_KEYWORD, NUMBER, SPACE_CHAR, YES_NO_WORD,
 )
@@ -34,15 +34,15 @@ def boolean_answer(text: Column) -> Column:
     """yes / no: answer line, conclusion phrase, final word, last such word; '' if none."""
     line = F.rtrim(strip(F.lower(answer_line(text))), F.lit(ANSWER_PUNCTUATION))
     first = F.regexp_extract(line, f"^[^{SPACE_CHAR}]+", 0)
-    from_line = F.when(first.isin("yes", "true"), "yes").when(first.isin("no", "false"), "no")
-    return F.coalesce(from_line, bind(strip(F.lower(text)), _unmarked_boolean), F.lit(""))
+    from_line = bind(first, lambda w: F.when(w.isin("yes", "true"), "yes").when(w.isin("no", "false"), "no"))
+    return F.coalesce(from_line, bind(F.lower(text), _unmarked_boolean), F.lit(""))
 
 
 def _unmarked_boolean(lowered: Column) -> Column:
     """yes / no of a lower-cased text without a usable answer line."""
-    ending = rstrip(F.rtrim(lowered, F.lit(ANSWER_PUNCTUATION)))
+    ending = rstrip(F.rtrim(rstrip(lowered), F.lit(ANSWER_PUNCTUATION)))
     # Four characters show whether the last word is exactly yes or no.
-    final = F.regexp_extract(F.right(ending, F.lit(4)), f"(?:^|[{SPACE_CHAR}])(yes|no)$", 1)
+    final = F.regexp_extract(F.substring(ending, -4, 4), f"(?:^|[{SPACE_CHAR}])(yes|no)$", 1)
 
     def says(word: str) -> Column:
         return (F.contains(lowered, F.lit(f"answer is {word}"))
@@ -50,7 +50,7 @@ def _unmarked_boolean(lowered: Column) -> Column:
 
     return F.coalesce(
         F.when(says("yes"), "yes").when(says("no"), "no"),
-        F.nullif(final, F.lit("")),
+        bind(final, empty_to_null),
         last_match(lowered, YES_NO_WORD, 1),
     )
 

@@ -84,15 +84,15 @@ FAILURE_CATEGORIES = ["extraction", "reasoning", "truncation"]
 CLEAN_ENDINGS = [".", "!", "?", '"', "'", ")", "]"]
 
 # Patterns. Python's \w, \d and \s are Unicode-aware; these are the equivalents
-# in Java regular expressions.
+# in Java regular expressions. Leading lookaheads only reject most positions fast.
 WORD_CHAR = r"\p{L}\p{N}_"
 SPACE_CHAR = r"\s\p{Z}\x{85}\x{1c}-\x{1f}"
-WORD = rf"[{WORD_CHAR}]+"
-NUMBER = r"[-+]?\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?"
+WORD = rf"[{WORD_CHAR}]++"
+NUMBER = r"(?=[-+\p{Nd}])[-+]?\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?"
 ANSWER_CUE = rf"(?iu)answer[{SPACE_CHAR}]*[:=]"
 ANSWER_LINE = rf"{ANSWER_CUE}[{SPACE_CHAR}]*([^\n\r]+)"
-NEAR_KEYWORD = rf"(?:answer|total|therefore|so)[^\p{{Nd}}-]{{0,15}}({NUMBER})"
-YES_NO_WORD = rf"(?<![{WORD_CHAR}])(yes|no)(?![{WORD_CHAR}])"
+NEAR_KEYWORD = rf"(?=[ats])(?:answer|total|therefore|so)[^\p{{Nd}}-]{{0,15}}({NUMBER})"
+YES_NO_WORD = rf"(?=[yn])(?<![{WORD_CHAR}])(yes|no)(?![{WORD_CHAR}])"
 FLOAT_TEXT = r"^[-+]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][-+]?\d+(?:_\d+)*)?$"
 ANSWER_PUNCTUATION = ".!?, "
 GOLD_MARK = "####"
