@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import mixing, quality, sharding, simhash
 from .shared import documents
 
 
@@ -14,5 +14,14 @@ def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op6_jump_sharding)}
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.document_fingerprints(documents(spark, sf_dir))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.score_documents(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+QUERIES = {f.__name__: f for f in (op5_mixing, op6_jump_sharding, op7_simhash, op9_quality)}
 ORACLES: dict[str, str] = {}
