@@ -2,10 +2,18 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding, simhash
+from . import mixing, quality, records, sharding, simhash, tokens
 from .shared import documents
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(documents(spark, sf_dir))
+
+
+def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.token_records(documents(spark, sf_dir))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_counts(documents(spark, sf_dir))
 
@@ -23,5 +31,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op6_jump_sharding, op7_simhash, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_records, op5_mixing, op6_jump_sharding, op7_simhash, op9_quality)}
 ORACLES: dict[str, str] = {}
