@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, records, sharding, simhash, tokens
+from . import decontaminate, mixing, quality, records, sharding, sigtree, simhash, tokens
 from .shared import documents
 
 
@@ -14,6 +14,10 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.token_records(documents(spark, sf_dir))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_counts(documents(spark, sf_dir))
 
@@ -26,10 +30,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.document_fingerprints(documents(spark, sf_dir))
 
 
+def op8_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sigtree.jaccard_components(documents(spark, sf_dir))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.score_documents(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_records, op5_mixing, op6_jump_sharding, op7_simhash, op9_quality)}
+QUERIES = {f.__name__: f for f in (
+    op1_token_counts, op2_token_records, op3_decontamination, op5_mixing, op6_jump_sharding, op7_simhash, op8_signature_trees, op9_quality)}
 ORACLES: dict[str, str] = {}
