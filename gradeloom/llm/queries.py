@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, records, sharding, sigtree, simhash, tokens
+from . import decontaminate, mixing, quality, records, sharding, sigtree, simhash, suffix, tokens
 from .shared import documents
 
 
@@ -18,6 +18,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_counts(documents(spark, sf_dir))
 
@@ -40,5 +44,6 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_counts, op2_token_records, op3_decontamination, op5_mixing, op6_jump_sharding, op7_simhash, op8_signature_trees, op9_quality)}
+    op1_token_counts, op2_token_records, op3_decontamination, op4_suffix_dedup, op5_mixing, op6_jump_sharding, op7_simhash,
+    op8_signature_trees, op9_quality)}
 ORACLES: dict[str, str] = {}
