@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, records, sharding, sigtree, simhash, suffix, tokens
+from . import decontaminate, mixing, pii, quality, records, sharding, sigtree, simhash, suffix, tokens
 from .shared import documents
 
 
@@ -43,7 +43,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_token_records, op3_decontamination, op4_suffix_dedup, op5_mixing, op6_jump_sharding, op7_simhash,
-    op8_signature_trees, op9_quality)}
+    op8_signature_trees, op9_quality, op10_pii)}
 ORACLES: dict[str, str] = {}
