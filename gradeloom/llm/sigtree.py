@@ -50,7 +50,7 @@ def shingle_levels(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def prefix_rows(docs: DataFrame, size: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """(doc_id, n, c1, c2, prefix) of every document: set size, 128-bit hash of the set, and its rarest shingles.
+    """(doc_id, n, c1, c2, prefix, map) of every document: set size, 128-bit hash of the set, its rarest shingles, its bitmap.
 
     Two sets with percent * union <= 100 * intersection share one of the first n - ceil(percent * n / 100) + 1 shingles of
     either in any fixed order.
@@ -70,137 +70,160 @@ def prefix_rows(docs: DataFrame, size: int, percent: int, levels: np.ndarray) ->
                 place = np.arange(len(hashes)) - first[:-1][text]
                 ends = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes[order][place < keep[text]].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(begin, end - begin), pa.array(n), *map(pa.array, marks), lists], ["doc_id", "n", "c1", "c2", "prefix"])
+                maps = pa.array([bitmap(hashes[a:b]).tobytes() for a, b in zip(first, first[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(begin, end - begin), pa.array(n), *map(pa.array, marks), lists, maps], ["doc_id", "n", "c1", "c2", "prefix", "map"])
 
     rows = whole_text(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.mapInArrow(make, "doc_id long, n long, c1 long, c2 long, prefix array<long>")
+    return rows.mapInArrow(make, "doc_id long, n long, c1 long, c2 long, prefix array<long>, map binary")
+
+
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Bitmap of a set, as bytes: a power of two of bits, 256 at least and twice as many as shingles (65,536 at most)."""
+    width = 1 << min(max(8, int(2 * len(hashes) - 1).bit_length()), 16)
+    bits = np.zeros(width, np.uint8)
+    bits[(hashes & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little")
 
 
 class SignatureTree:
-    """Nodes over sets in a given order: OR-combined bitmaps, size ranges, and the most shingles that share a set's bits.
+    """Nodes over sets in a given order: OR-combined bitmaps, size ranges, and the most shingles beyond a set's bits.
 
-    Level 0 has the sets, each node of a level above ``FAN`` nodes of the one below.
+    Level 0 has the sets, each node of a level above ``FAN`` nodes of the one below. Shorter bitmaps are repeated to the
+    longest one's length, and the bits that two nodes share are counted once for the repeats that both have at least.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
-        sizes = np.array([len(s) for s in sets])
-        width = 256
-        while width < min(4 * sizes.max(), 1 << 16):
-            width *= 2
-        bits = np.zeros((len(sets), width // 8), np.uint8)
-        cell = np.concatenate(sets) & np.uint64(width - 1)
-        np.bitwise_or.at(bits, (np.repeat(np.arange(len(sets)), sizes), (cell >> np.uint64(3)).astype(np.int64)),
-                         np.left_shift(1, (cell & np.uint64(7)).astype(np.uint8), dtype=np.uint8))
-        maps = bits.view(np.uint64)
-        self.levels = [(maps, sizes, sizes, sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64))]
+    def __init__(self, maps: list[np.ndarray], sizes: np.ndarray):
+        width = max(len(m) for m in maps)
+        spare = sizes - np.array([np.bitwise_count(m).sum(dtype=np.int64) for m in maps])
+        wide = np.stack([np.tile(m, width // len(m)) for m in maps]).view(np.uint64)
+        repeats = np.array([width // len(m) for m in maps])
+        self.levels = [(wide, sizes, sizes, spare, repeats)]
         while len(self.levels[-1][0]) > 1:
-            maps, low, high, spare = self.levels[-1]
-            at = np.arange(0, len(maps), FAN)
-            self.levels.append((np.bitwise_or.reduceat(maps, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(spare, at)))
+            wide, low, high, spare, repeats = self.levels[-1]
+            at = np.arange(0, len(wide), FAN)
+            self.levels.append((np.bitwise_or.reduceat(wide, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at),
+                                np.maximum.reduceat(spare, at), np.minimum.reduceat(repeats, at)))
 
     def possible(self, level: int, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
         """Whether any set below node x and any below node y can be similar enough, by sizes and by the most they can share."""
-        maps, low, high, spare = self.levels[level]
+        wide, low, high, spare, repeats = self.levels[level]
         good = (100 * high[x] >= percent * low[y]) & (100 * high[y] >= percent * low[x])
         x, y = x[good], y[good]
-        shared = np.bitwise_count(maps[x] & maps[y]).sum(axis=1, dtype=np.int64) + np.minimum(spare[x], spare[y])
+        shared = np.bitwise_count(wide[x] & wide[y]).sum(axis=1, dtype=np.int64) // np.minimum(repeats[x], repeats[y]) + np.minimum(spare[x], spare[y])
         good[good] = (100 + percent) * shared >= percent * (low[x] + low[y])
         return good
 
+    def components(self, percent: int, linked) -> np.ndarray:
+        """Labels of the components of the pairs that ``linked(i, j)`` accepts among those the bounds allow.
 
-def link_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Component label (a member's index) of each sorted set under links of at least ``percent`` Jaccard similarity.
+        Dual traversal from the root: a pair of nodes goes on only if its bound allows a link and it is not inside one component
+        already. Neighbours in the order are tried first, which joins most copies before the descent.
+        """
+        counts = [len(level[0]) for level in self.levels]
+        labels = np.arange(counts[0])
 
-    Dual traversal of the tree from the root: a pair of nodes goes on only if its bound allows a link and it isn't inside one
-    component already. Neighbours in the order by rarest shingle are tried first, which joins most copies before the descent.
-    """
-    order = sorted(range(len(sets)), key=lambda i: (sets[i][0], len(sets[i])))
-    sets = [sets[i] for i in order]
-    labels = np.arange(len(sets))
-
-    def attempt(i: int, j: int) -> None:
-        if labels[i] != labels[j]:
-            a, b = len(sets[i]), len(sets[j])
-            if 100 * min(a, b) >= percent * max(a, b):
-                common = a + b - len(np.union1d(sets[i], sets[j]))
-                if 100 * common >= percent * (a + b - common):
+        def attempt(pairs) -> None:
+            for i, j in pairs:
+                if labels[i] != labels[j] and linked(i, j):
                     labels[labels == labels[j]] = labels[i]
 
-    for step in (1, 2):
-        for i in range(len(sets) - step):
-            attempt(i, i + step)
-    tree = SignatureTree(sets)
-    counts = [len(level[0]) for level in tree.levels]
-    pending = [(len(counts) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    while pending:
-        level, x, y = pending.pop()
-        if len(x) > 4096:
-            pending += [(level, x[4096:], y[4096:]), (level, x[:4096], y[:4096])]
-            continue
-        span = FAN ** level
-        edges = np.arange(0, len(sets), span)
-        low, high = np.minimum.reduceat(labels, edges), np.maximum.reduceat(labels, edges)
-        keep = ~((low[x] == high[x]) & (low[y] == high[y]) & (low[x] == low[y]))
-        x, y = x[keep], y[keep]
-        keep = tree.possible(level, x, y, percent)
-        x, y = x[keep], y[keep]
-        if level == 0:
-            for i, j in zip(x.tolist(), y.tolist()):
-                attempt(i, j)
-        elif len(x):
-            pairs = np.arange(FAN * FAN)
-            u, v = (x[:, None] * FAN + pairs // FAN).ravel(), (y[:, None] * FAN + pairs % FAN).ravel()
-            inside = (u < counts[level - 1]) & (v < counts[level - 1]) & ((u < v) | ((u == v) & (level > 1)))
-            pending.append((level - 1, u[inside], v[inside]))
-    out = np.empty(len(sets), np.int64)
-    names = np.array(order)
-    out[names] = names[labels]
-    return out
-
-
-def _join_blocks(percent: int):
-    """Joins blocks, rows (block, i, j, id, shingles) that come block by block; gives the links of a spanning forest."""
+        near = np.arange(counts[0] - 1)
+        near = near[self.possible(0, near, near + 1, percent)]
+        attempt((i, i + 1) for i in near.tolist())
+        pending = [(len(counts) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        while pending:
+            level, x, y = pending.pop()
+            if len(x) > 4096:
+                pending += [(level, x[4096:], y[4096:]), (level, x[:4096], y[:4096])]
+                continue
+            edges = np.arange(0, counts[0], FAN ** level)
+            low, high = np.minimum.reduceat(labels, edges), np.maximum.reduceat(labels, edges)
+            keep = ~((low[x] == high[x]) & (low[y] == high[y]) & (low[x] == low[y]))
+            x, y = x[keep], y[keep]
+            keep = self.possible(level, x, y, percent)
+            x, y = x[keep], y[keep]
+            if level == 0:
+                attempt(zip(x.tolist(), y.tolist()))
+            elif len(x):
+                pairs = np.arange(FAN * FAN)
+                u, v = (x[:, None] * FAN + pairs // FAN).ravel(), (y[:, None] * FAN + pairs % FAN).ravel()
+                inside = (u < counts[level - 1]) & (v < counts[level - 1]) & ((u < v) | ((u == v) & (level > 1)))
+                pending.append((level - 1, u[inside], v[inside]))
+        return labels
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have at least ``percent`` Jaccard similarity."""
+    union = len(np.union1d(a, b))
+    return 100 * (len(a) + len(b) - union) >= percent * union
+
+
+def _join_blocks(percent: int, exact: bool):
+    """Joins blocks, rows (block, i, j, id, n, data) that come block by block; gives a spanning forest of each.
+
+    data holds bitmaps, and pairs that the bounds allow are candidates; or, if exact, sets, which are compared.
+    """
+    def links(ids: list[int], sizes: list[int], data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        if len(ids) < 2:
+            return
+        sets = [np.frombuffer(d, np.uint64) for d in data] if exact else []
+        maps = [bitmap(s) for s in sets] if exact else [np.frombuffer(d, np.uint8) for d in data]
+        order = sorted(range(len(ids)), key=(lambda i: (int(sets[i][0]), sizes[i])) if exact else (lambda i: (sizes[i], ids[i])))
+        tree = SignatureTree([maps[i] for i in order], np.array([sizes[i] for i in order]))
+        labels = tree.components(percent, (lambda i, j: similar(sets[order[i]], sets[order[j]], percent)) if exact else (lambda i, j: True))
+        names = np.array(ids)[order]
+        other = names != names[labels]
+        if other.any():
+            yield pa.RecordBatch.from_arrays([pa.array(names[other]), pa.array(names[labels][other])], ["a", "b"])
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets = None, [], []
+        key, block = None, ([], [], [])
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in ("block", "i", "j"))))
-            for k, i, s in zip(keys, batch.column("id").to_pylist(), batch.column("shingles").to_pylist()):
+            for k, *row in zip(keys, *(batch.column(c).to_pylist() for c in ("id", "n", "data"))):
                 if k != key:
-                    yield from _links(ids, sets, percent)
-                    key, ids, sets = k, [], []
-                ids.append(i)
-                sets.append(np.frombuffer(s, np.uint64))
-        yield from _links(ids, sets, percent)
+                    yield from links(*block)
+                    key, block = k, ([], [], [])
+                for column, value in zip(block, row):
+                    column.append(value)
+        yield from links(*block)
 
     return join
 
 
-def _links(ids: list[int], sets: list[np.ndarray], percent: int) -> Iterator[pa.RecordBatch]:
-    if len(ids) > 1:
-        labels = link_sets(sets, percent)
-        ids = np.array(ids)
-        other = ids != ids[labels]
-        if other.any():
-            yield pa.RecordBatch.from_arrays([pa.array(ids[other]), pa.array(ids[labels][other])], ["a", "b"])
+def join_in_blocks(members: DataFrame, rows: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Links (a, b) found in the blocks of members (block, id), whose data are in rows (id, n, data).
+
+    Blocks of more than ``CHUNK`` members are cut into chunks, and every two chunks are joined by a task of their own, so that no task
+    holds more than two chunks whatever the block.
+    """
+    counts = members.groupBy("block").agg(F.count("*").alias("m"))
+    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+    placed = members.join(counts.hint("merge"), "block").select("block", "id", chunks.alias("c"), F.pmod(F.xxhash64("id"), chunks).cast("int").alias("own"))
+    others = F.filter(F.sequence(F.lit(0), F.col("c") - 1), lambda o: o != F.col("own"))
+    placed = placed.select("block", "id", "own", F.explode(F.when(F.col("c") == 1, F.array(F.lit(0))).otherwise(others)).alias("_other")).select(
+        "block", "id", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"))
+    # An explicit number: joining blocks costs far more than their bytes let adaptive execution expect.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = (placed.join(rows.hint("merge"), "id").repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j")
+              .select("block", "i", "j", "id", "n", "data"))
+    return blocks.mapInArrow(_join_blocks(percent, exact), "a long, b long")
 
 
 def similar_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) that span the components of similar classes (rep, n, prefix).
+    """Links (a, b) that span the components of similar classes (rep, n, prefix, map).
 
     Classes that share a prefix shingle meet in the block named after the smallest of them, each class once in a block however
-    many shingles lead there. Blocks of more than ``CHUNK`` members are cut into chunks, and every two chunks are joined by a task of
-    their own, so no task holds more than two chunks. Only texts of members are shuffled.
+    many shingles lead there. There, signature trees over the bitmaps leave the pairs that may be similar. Their components are the blocks of
+    the second join, which compares the sets; only texts of these are read again, and each set is shuffled once.
     """
     tokens = classes.select("rep", F.explode("prefix").alias("token"))
     leads = tokens.groupBy("token").agg(F.min("rep").alias("block"), F.max("rep").alias("_last")).where("block < _last").drop("_last")
-    members = stored(tokens.join(leads.hint("merge"), "token").select("block", "rep").distinct(), "block-members")
-    counts = members.groupBy("block").agg(F.count("*").alias("m"))
-    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    placed = members.join(counts, "block").select("block", "rep", chunks.alias("c"), F.pmod(F.xxhash64("rep"), chunks).cast("int").alias("own"))
-    other = F.explode(F.when(F.col("c") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("c") - 1), lambda o: o != F.col("own"))))
-    placed = placed.select("block", "rep", "own", other.alias("_other")).select(
-        "block", F.col("rep").alias("id"), F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"))
-    held = members.select(F.col("rep").alias("doc_id")).distinct()
+    members = stored(tokens.join(leads.hint("merge"), "token").select("block", F.col("rep").alias("id")).distinct(), "block-members")
+    maps = classes.select(F.col("rep").alias("id"), "n", F.col("map").alias("data"))
+    candidates = connected_components(join_in_blocks(members, maps, percent, exact=False))
+    members = stored(candidates.select(F.col("component").alias("block"), F.col("node").alias("id")), "candidates")
+    held = members.select(F.col("id").alias("doc_id"))
     texts = maybe_in(whole_text(docs, F.col("doc_id").cast("long").alias("doc_id")), "doc_id", id_bitmap(held, "doc_id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,15 +231,11 @@ def similar_links(docs: DataFrame, classes: DataFrame, size: int, percent: int)
             for begin, end, data, offsets in text_slices(batch):
                 hashes, text = shingle_sets(data, offsets, size)
                 first = np.searchsorted(text, np.arange(end - begin + 1))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, end - begin), pa.array(
-                    [hashes[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, end - begin), pa.array(np.diff(first)), pa.array(
+                    [hashes[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], ["id", "n", "data"])
 
-    shingles = texts.join(held, "doc_id", "left_semi").mapInArrow(sets, "id long, shingles binary").where(F.octet_length("shingles") > 0)
-    # An explicit number: joining blocks costs far more than their bytes let adaptive execution expect.
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = (placed.join(shingles.hint("merge"), "id").repartition(parts, "block", "i", "j").sortWithinPartitions("block", "i", "j")
-              .select("block", "i", "j", "id", "shingles"))
-    return blocks.mapInArrow(_join_blocks(percent), "a long, b long")
+    shingles = texts.join(held.hint("merge"), "doc_id", "left_semi").mapInArrow(sets, "id long, n long, data binary").where("n > 0")
+    return join_in_blocks(members, shingles, percent, exact=True)
 
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
@@ -228,7 +247,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     doc_id are one document with several sets. Rows with a null id reach their class's smallest id, or null. Empty table: no rows.
     """
     rows = stored(prefix_rows(docs, size, percent, shingle_levels(docs, size)), "shingle-prefixes")
-    classes = stored(rows.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "shingle-classes")
+    classes = stored(rows.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("map").alias("map")), "shingle-classes")
     links = similar_links(docs, classes.where("rep is not null"), size, percent)
     # Rows with one id but different sets tie their classes together.
     named = rows.where("n > 0").select("doc_id", "n", "c1", "c2").join(classes.select("c1", "c2", "rep"), ["c1", "c2"])
