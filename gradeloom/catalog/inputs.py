@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gradeloom.functions.conditions import condition_label
 from gradeloom.lookups import STRATEGIES
-from gradeloom.sources.tables import read_table, spread
+from gradeloom.sources.tables import read_table
 
 PATHS = 5
 VECTOR_DIM = 8
@@ -69,9 +69,9 @@ def numeric_runs(orders: DataFrame) -> DataFrame:
 
 
 def boolean_runs(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """One yes/no generation per labelled document, around its whole text."""
+    """One yes/no generation per document, around its whole text; a document without a label counts as no."""
     key, text = F.col("doc_id"), F.col("text")
-    gold = F.col("quality") == 1
+    gold = F.coalesce(F.col("quality") == 1, F.lit(False))
     y = F.when(gold != (key % 5 == 0), "yes").otherwise("no")
     style = key % 8
     generation = (
@@ -82,53 +82,51 @@ def boolean_runs(documents: DataFrame, labels: DataFrame) -> DataFrame:
         .when(style == 4, text)
         .when(style == 5, F.concat(text, F.lit("\n**Answer:** "), F.initcap(y)))
         .when(style == 6, F.concat(text, F.lit("\nAnswer: "), F.initcap(y), F.lit(", because")))
-        .otherwise(F.lit("")))
-    joined = documents.join(labels.select("doc_id", "quality"), "doc_id")
+        .otherwise(F.concat(text, F.lit("\nI cannot tell."))))
+    # Labels grow with the documents: a shuffle join, whatever the size here.
+    joined = documents.join(labels.select("doc_id", "quality").hint("merge"), "doc_id", "left")
     return joined.select(
         F.lit("strategyqa").alias("dataset"),
         *_row_columns(key),
         F.concat(F.lit("Is document "), key.cast("string"), F.lit(" of high quality?")).alias("question"),
         gold.cast("string").alias("answer_raw"),
         generation.alias("generation"),
-        F.when(style == 7, 0).otherwise(F.floor(F.col("n_chars") / 4)).cast("long").alias("completion_tokens"),
+        F.floor(F.col("n_chars") / 4).cast("long").alias("completion_tokens"),
     )
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both kinds of generations in one table."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    boolean = boolean_runs(spread(documents), table(spark, sf_dir, "labels"))
+    boolean = boolean_runs(documents, table(spark, sf_dir, "labels"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return numeric_runs(spread(orders)).unionByName(boolean)
+    return numeric_runs(orders).unionByName(boolean)
 
 
 def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns with the assistant turn that follows.
+    """User turns with the assistant turn that follows, or an empty text.
 
     Turns are numbered without gaps, so the next turn is an equi-join on both
     columns and a very long conversation spreads over tasks.
     """
-    turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     user = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("gold_text"))
     reply = turns.where("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("generation"))
-    return user.join(reply, ["conv_id", "turn"])
+    joined = user.join(reply.hint("merge"), ["conv_id", "turn"], "left")
+    return joined.withColumn("generation", F.coalesce("generation", F.lit("")))
 
 
 PATH_CONDITION = {"model": "model-p", "temperature": 0.7, "self_consistency": PATHS}
 
 
 def path_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Several recorded paths per order, numbered in the order of all columns.
-
-    Only the first paths are asked for. Spark applies that bound before the
-    shuffle (WindowGroupLimit), so an order with very many lines stays small.
-    """
-    lines = spread(table(spark, sf_dir, "lineitem"))
+    """Several recorded paths per order, one per line, numbered in the order of all columns."""
+    lines = table(spark, sf_dir, "lineitem")
     number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*[c for c in lines.columns if c != "l_orderkey"]))
     text = F.when(F.col("l_partkey") % 7 == 0, "").otherwise(
         F.concat(F.lit("Answer: "), (F.floor("l_quantity") % 3).cast("string")))
-    return lines.withColumn("_no", number).where(F.col("_no") <= PATHS).select(
+    return lines.withColumn("_no", number).select(
         F.lit("gsm8k").alias("dataset"),
         F.lit("zero_shot_cot").alias("strategy"),
         F.col("l_orderkey").alias("sample_idx"),

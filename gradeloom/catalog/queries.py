@@ -8,11 +8,11 @@ from gradeloom.functions.prompts import build_prompt
 from gradeloom.functions.text import py_round, tokens
 from gradeloom.lookups import SWEEP_VALUES
 from gradeloom.operators import failures as FA, grid as G, paths as P, resume as R, samples as S, scoring as SC, summary as SU
-from gradeloom.plans import evaluation as EV
+from gradeloom.plans import evaluation as EV, postscore as PS
 from gradeloom.schemas import KEY, LOG_COLUMNS, LOG_V1, LOG_V2, LOG_V3, SCORE_METRICS
 from gradeloom.sources import reports, runlog
-from gradeloom.sources.scratch import scratch_path
-from gradeloom.sources.tables import spread
+from gradeloom.sources.datasets import read_samples as read_dataset_samples
+from gradeloom.sources.scratch import scratch_path, written
 from gradeloom.streaming import scoring as ST
 
 ROW = ["dataset", "sample_idx"]
@@ -27,6 +27,19 @@ def row_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.with_row_position(I.table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "sample_idx")
 
 
+def read_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and documents as two question files each, read back as datasets."""
+    folder = scratch_path(spark, "samples")
+    orders, documents = I.table(spark, sf_dir, "orders"), I.table(spark, sf_dir, "documents")
+    total = F.floor("o_totalprice").cast("long").cast("string")
+    for name, key, rows in (
+            ("numeric", "o_orderkey", orders.select("o_orderkey", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("question"),
+                                                    F.concat(F.lit("#### "), total).alias("answer"))),
+            ("boolean", "doc_id", documents.select("doc_id", F.col("text").alias("question"), (F.col("lang") == "en").alias("answer")))):
+        rows.repartitionByRange(3, key).sortWithinPartitions(key).drop(key).write.parquet(f"{folder}/{name}")
+    return read_dataset_samples(spark, f"{folder}/numeric", f"{folder}/boolean")
+
+
 def first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.first_n(I.runs(spark, sf_dir), 100).select(*ROW, "strategy", "answer_raw")
 
@@ -52,7 +65,8 @@ def exact_match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset_em(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SU.dataset_em(SC.exact_match_rows(I.runs(spark, sf_dir)))
+    name = F.when(F.col("sample_idx") % 2 == 0, F.upper("dataset")).otherwise(F.initcap("dataset"))
+    return SU.dataset_em(I.runs(spark, sf_dir).withColumn("dataset", name))
 
 
 def substring_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +101,7 @@ def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id")
-    grid = G.with_strategies(spread(I.table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    grid = G.with_strategies(I.table(spark, sf_dir, "documents").select(
         "doc_id", "text", F.explode(F.array(F.lit("GSM8K"), F.lit("strategyqa"))).alias("dataset")))
     return grid.select("doc_id", "dataset", "strategy", build_prompt(
         F.col("dataset"), F.col("strategy"), F.col("text"),
@@ -120,6 +134,16 @@ def condition_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
                        C.condition_without_model(F.col("label")).alias("condition"))
 
 
+def condition_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid over conditions that come as a table."""
+    key = F.col("n_nationkey")
+    cells = I.table(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("model"), (256 + key * 8).alias("max_tokens"), (key % 2 == 0).alias("structured"),
+        F.when(key % 5 == 0, None).otherwise(key % 5).cast("int").alias("k_shot"))
+    grid = EV.experiment_grid(I.path_samples(spark, sf_dir).select(*ROW), cells, strategies=["zero_shot_cot"])
+    return grid.select(*KEY, "model", "max_tokens")
+
+
 def _path_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EV.experiment_grid(I.path_samples(spark, sf_dir), [I.PATH_CONDITION], strategies=["zero_shot_cot"])
 
@@ -176,7 +200,9 @@ def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def condition_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = I.runs(spark, sf_dir)
-    return SU.condition_summary(SC.score_rows(rows), SU.requested_cells(rows))
+    # For one strategy, the cells asked for are not those that were logged.
+    moved = F.when(F.col("strategy") == "zero_shot_cot", F.concat("condition", F.lit(",more=1"))).otherwise(F.col("condition"))
+    return SU.condition_summary(SC.score_rows(rows), SU.requested_cells(rows.withColumn("condition", moved)))
 
 
 def em_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,6 +231,10 @@ def failure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FA.failure_counts(_failures(spark, sf_dir))
 
 
+def failure_counts_one_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FA.failure_counts(_failures(spark, sf_dir).where("model = 'model-1'"))
+
+
 def _half_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log in which every other row has no metrics yet and the rest have marks of their own."""
     rows = _with_file(SC.exact_match_rows(I.runs(spark, sf_dir)))
@@ -233,14 +263,18 @@ def embedding_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_log_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every row goes to one of three CSV logs of different layouts, read back as one."""
+    """Every row goes to one of four CSV logs of different layouts, read back as one.
+
+    The fourth has more columns than anyone looks at before the known ones; a fifth, without gold answers, is skipped.
+    """
     folder = scratch_path(spark, "logs")
     awkward = F.concat(F.lit('He said "'), F.col("question"), F.lit('" \\ twice, \U0001f600\nthen left.'))
     scored = _scored(spark, sf_dir).withColumn("question", awkward)
-    scored = scored.persist()
-    for i, layout in enumerate([LOG_V1, LOG_V2, LOG_V3]):
-        runlog.export_csv(scored.where(F.col("sample_idx") % 3 == i).select(*layout), f"{folder}/run_{i}")
-    scored.unpersist()
+    wide = [f"note_{i:02d}" for i in range(45)]
+    scored = written(scored, "scored").withColumns({c: F.lit(c) for c in wide})
+    for i, layout in enumerate([LOG_V1, LOG_V2, LOG_V3, [*wide, *LOG_V3]]):
+        runlog.export_csv(scored.where(F.col("sample_idx") % 4 == i).select(*layout), f"{folder}/run_{i}")
+    runlog.export_csv(scored.where("sample_idx % 4 = 0").select(*[c for c in LOG_V1 if c != "gold_answer"]), f"{folder}/run_4")
     log = runlog.read_run_logs(spark, [f"{folder}/run_*"], required=["generation", "gold_answer"])
     return log.select(*LOG_COLUMNS)
 
@@ -248,14 +282,43 @@ def run_log_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 def write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append to a log in two parts, rescore it into a new version, read that back."""
     folder = scratch_path(spark, "table")
-    scored = _scored(spark, sf_dir).persist()
+    scored = written(_scored(spark, sf_dir), "scored")
     for part in (0, 1):
         runlog.append_log(scored.where(F.col("sample_idx") % 2 == part), f"{folder}/v1")
-    scored.unpersist()
     runlog.write_back(SC.backfill(runlog.read_log(spark, f"{folder}/v1"), overwrite=True), f"{folder}/v2")
     return runlog.read_log(spark, f"{folder}/v2").select(*RESULT, "question", "generation", *SCORE_METRICS)
 
 
+def embedding_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the embedding scores back into a log, and read the log again."""
+    folder = scratch_path(spark, "table")
+    scored = SC.score_embeddings(I.embedding_log(spark, sf_dir), "candidate", "reference", I.VECTOR_DIM)
+    runlog.write_back(scored.select("sample_idx", "source_file", "bertscore_f1").withColumns(
+        {"dataset": F.lit("gsm8k"), "strategy": F.lit("zero_shot_cot")}), f"{folder}/v2")
+    return runlog.read_log(spark, f"{folder}/v2").select("dataset", "strategy", "sample_idx", "source_file", "bertscore_f1")
+
+
+def _run_logs(spark: SparkSession, sf_dir: str) -> str:
+    """Logs of the oldest layout, one folder per third of the rows."""
+    folder = scratch_path(spark, "logs")
+    rows = written(SC.exact_match_rows(I.runs(spark, sf_dir)), "rows")
+    for i in range(3):
+        runlog.export_csv(rows.where(F.col("sample_idx") % 3 == i).select(*LOG_V2), f"{folder}/run_{i}")
+    return folder
+
+
+def backfill_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later pass over CSV logs; rates of each row come from the Parquet log it writes."""
+    folder = _run_logs(spark, sf_dir)
+    PS.backfill_logs(spark, [f"{folder}/run_*"], f"{folder}/scored")
+    return runlog.read_log(spark, f"{folder}/scored").select(*KEY, *SCORE_METRICS)
+
+
+def analyse_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _run_logs(spark, sf_dir)
+    return PS.analyse_failures(spark, [f"{folder}/run_*"], f"{folder}/errors")
+
+
 def summary_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "summary")
     summary = SU.condition_summary(_scored(spark, sf_dir))
@@ -270,11 +333,16 @@ def failure_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Orders arrive in files of which some repeat keys, one file a batch; the query stops and starts again before the last ones."""
     folder = scratch_path(spark, "stream")
-    orders = (spark.readStream.schema(I.table(spark, sf_dir, "orders").schema)
-              .option("pathGlobFilter", "orders.parquet").parquet(sf_dir))
-    query = ST.score_stream(I.numeric_runs(orders), f"{folder}/log", f"{folder}/checkpoint", f"{folder}/totals")
-    query.awaitTermination()
+    table, key = I.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    table.limit(0).write.parquet(f"{folder}/orders/none")
+    orders = (spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+              .parquet(f"{folder}/orders"))
+    for parts in ([0, 1], [2]):
+        for part in parts:
+            table.where((key % 3 == part) | (key % 7 == part)).coalesce(1).write.parquet(f"{folder}/orders/{part}")
+        ST.score_stream(I.numeric_runs(orders), f"{folder}/log", f"{folder}/checkpoint", f"{folder}/totals").awaitTermination()
     return f"{folder}/log", f"{folder}/totals"
 
 
@@ -287,10 +355,10 @@ def streaming_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in [
-    sample_scan, row_position, first_n, answer_line, numeric_answer, boolean_answer, gold_normalise, exact_match_rows,
+    sample_scan, read_samples, row_position, first_n, answer_line, numeric_answer, boolean_answer, gold_normalise, exact_match_rows,
     dataset_em, substring_match, numeric_close, token_f1, rouge_l, prompt_build, template_table, ablation_grid,
-    condition_parse, attach_generations, majority_vote, path_concat, resume_pending, pending_prompts, evaluate_paths,
-    score_rows, condition_summary, em_pivot, model_summary, failure_rows, failure_counts, backfill, metric_rates,
-    embedding_f1, embedding_rates, run_log_union, write_back, summary_export, failure_export, streaming_scores,
+    condition_parse, condition_table, attach_generations, majority_vote, path_concat, resume_pending, pending_prompts, evaluate_paths,
+    score_rows, condition_summary, em_pivot, model_summary, failure_rows, failure_counts, failure_counts_one_model, backfill, metric_rates,
+    embedding_f1, embedding_rates, run_log_union, write_back, embedding_write_back, backfill_logs, analyse_failures, summary_export, failure_export, streaming_scores,
     streaming_summary,
 ]}

@@ -54,10 +54,10 @@ def _cell(key: str) -> str:
 _RUNS = f"""
 numeric_base as (select o_orderkey k, floor(o_totalprice)::bigint v from orders),
 boolean_base as (
-  select doc_id k, d.text t, n_chars, quality = 1 g,
-         case when (quality = 1) <> (doc_id % 5 = 0) then 'yes' else 'no' end y,
-         case when (quality = 1) <> (doc_id % 5 = 0) then 'Yes' else 'No' end yc
-  from documents d join labels l using (doc_id)),
+  select doc_id k, d.text t, n_chars, coalesce(quality = 1, false) g,
+         case when coalesce(quality = 1, false) <> (doc_id % 5 = 0) then 'yes' else 'no' end y,
+         case when coalesce(quality = 1, false) <> (doc_id % 5 = 0) then 'Yes' else 'No' end yc
+  from documents d left join labels l using (doc_id)),
 raw_runs as (
   select 'gsm8k' dataset, k, 'Order ' || k || ': what is the total?' question,
     'Add the items.' || chr(10) || '#### ' || v answer_raw,
@@ -82,8 +82,8 @@ raw_runs as (
       when 4 then t
       when 5 then t || chr(10) || '**Answer:** ' || yc
       when 6 then t || chr(10) || 'Answer: ' || yc || ', because'
-      else '' end,
-    case when k % 8 = 7 then 0 else n_chars // 4 end
+      else t || chr(10) || 'I cannot tell.' end,
+    n_chars // 4
   from boolean_base),
 runs as (
   select dataset, {_case('k', STRATEGIES)} strategy, k sample_idx, {_cell('k')} condition, question, answer_raw,
@@ -292,7 +292,7 @@ numbered as (
 gens as (
   select l_orderkey sample_idx, path_no, 40 + l_orderkey % 400 ct, (l_orderkey % 50)::double / 10e0 lat,
     case when l_partkey % 7 = 0 then '' else 'Answer: ' || (floor(l_quantity)::bigint % 3) end t
-  from numbered where path_no < 5),
+  from numbered),
 slots as (select o_orderkey sample_idx, path_no from orders cross join (select unnest(range(0, 5)) path_no)),
 calls as (select distinct sample_idx, ct, lat from gens),
 attached as (
@@ -409,8 +409,8 @@ marked as (
 _LAYOUTS = f"""
 select dataset, strategy, sample_idx, 'He said "' || question || '" \\ twice, ' || chr(128512) || chr(10) || 'then left.' question,
   gold_answer, replace(generation, chr(10), ' ') generation, predicted_answer, is_correct, parse_failed,
-  {', '.join(f'case when sample_idx % 3 = 2 then {c} end {c}' for c in _METRICS.split(', '))},
-  {', '.join(f'case when sample_idx % 3 > 0 then {c} end {c}' for c in ['prompt_tokens', 'completion_tokens', 'total_tokens', 'latency_s', 'condition'])}
+  {', '.join(f'case when sample_idx % 4 >= 2 then {c} end {c}' for c in _METRICS.split(', '))},
+  {', '.join(f'case when sample_idx % 4 > 0 then {c} end {c}' for c in ['prompt_tokens', 'completion_tokens', 'total_tokens', 'latency_s', 'condition'])}
 from scored"""
 
 _REWRITTEN = _BACKFILLED + f"""
@@ -422,8 +422,27 @@ from (
 select strategy, avg(em) filter (dataset = 'gsm8k') a, avg(em) filter (dataset = 'strategyqa') b
 from (select dataset, strategy, condition, sum(is_correct)::double / count(*) * 100e0 em from exact group by all) group by 1)"""
 
+_MEANS = ["em", "parse_failure_rate", "substring_match_rate", "numeric_close_rate", "avg_token_f1", "avg_rouge_l", "avg_prompt_tokens",
+          "avg_completion_tokens", "avg_total_tokens", "avg_latency_s"]
 _REQUESTED = f"""
-select s.*, n n_requested from ({summary('scored', 'dataset, strategy, condition')}) s"""
+select dataset, strategy, condition, n_requested, coalesce(n, 0) n, coalesce(total_tokens_used, 0) total_tokens_used,
+  {', '.join(f'coalesce({c}, 0e0) {c}' for c in _MEANS)}
+from (select dataset, strategy, case when strategy = 'zero_shot_cot' then condition || ',more=1' else condition end condition,
+        count(*) n_requested from runs group by all)
+  full join ({summary('scored', 'dataset, strategy, condition')}) using (dataset, strategy, condition)"""
+
+_TABLE = f"""
+select 'gsm8k' dataset, 'zero_shot_cot' strategy, o_orderkey sample_idx, 'model=' || n_name || ',k='
+    || case when n_nationkey % 5 = 0 then 'def' else (n_nationkey % 5)::varchar end || ',trig=default,persona=revised,struct='
+    || case when n_nationkey % 2 = 0 then 'on' else 'off' end || ',mt=' || (256 + n_nationkey * 8) || ',T=0.0,sc=1' condition,
+  n_name model, (256 + n_nationkey * 8)::int max_tokens
+from orders cross join nation"""
+
+_READ = """
+select 'gsm8k' dataset, row_number() over (order by o_orderkey) - 1 sample_idx, 'Order ' || o_orderkey question,
+  '#### ' || floor(o_totalprice)::bigint answer_raw from orders
+union all
+select 'strategyqa', row_number() over (order by doc_id) - 1, text, case when lang = 'en' then 'true' else 'false' end from documents"""
 
 _EXPORTED = f"""
 select s.*, unnest(['csv', 'json']) format from ({summary('scored', 'dataset, strategy, condition')}) s"""
@@ -437,14 +456,16 @@ filed as (
 _GSM8K_SCORED = _SCORED + ", numeric_scored as (select * from scored where dataset = 'gsm8k')"
 _PAIRS = """
 pairs as (
-  select u.conv_id, u.turn, u.text gold_text, a.text generation
-  from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1
-  where u.role = 'user' and a.role = 'assistant')"""
+  select u.conv_id, u.turn, u.text gold_text, coalesce(a.text, '') generation
+  from conversations u left join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 and a.role = 'assistant'
+  where u.role = 'user')"""
 _PAIR_OVERLAP = _PAIRS + overlap("pairs", "conv_id, turn", "generation", "gold_text")
 
 
 ORACLES = {
     "sample_scan": _with(_RUNS, "select dataset, sample_idx, question, answer_raw from runs"),
+    "read_samples": _READ,
+    "condition_table": _TABLE,
     "row_position": "select doc_id, row_number() over (order by doc_id) - 1 sample_idx from documents",
     "first_n": _with(_RUNS, "select dataset, sample_idx, strategy, answer_raw from runs where sample_idx < 100"),
     "answer_line": _with(_RUNS, f"select dataset, sample_idx, {answer_line('generation')} answer_line from runs"),
@@ -463,8 +484,13 @@ ORACLES = {
     "ablation_grid": _SWEEP,
     "condition_parse": _with(_PARSE, ""),
     "attach_generations": _with(_PATHS, "select * from attached"),
-    "majority_vote": _with(_PATHS, """select dataset, strategy, sample_idx, condition, predicted_answer from voted
-      where sample_idx in (select sample_idx from gens)"""),
+    "majority_vote": _with(_PATHS, f"""select 'gsm8k' dataset, 'zero_shot_cot' strategy, sample_idx, '{_PATH_CELL}' condition,
+        coalesce(answer, '') predicted_answer
+      from (select distinct sample_idx from gens) left join (
+        select sample_idx, answer from (
+          select *, row_number() over (partition by sample_idx order by n desc, first) rk from (
+            select sample_idx, replace(t, 'Answer: ', '') answer, count(*) n, min(path_no) first
+            from gens where t <> '' group by all)) where rk = 1) using (sample_idx)"""),
     "path_concat": _with(_PATHS, "select dataset, strategy, sample_idx, condition, generation, predicted_answer from voted"),
     "resume_pending": _with(_PENDING, "select dataset, strategy, sample_idx, condition from open"),
     "pending_prompts": _with(_PENDING_PROMPTS, ""),
@@ -475,6 +501,10 @@ ORACLES = {
     "model_summary": _with(_SCORED + _MODELLED, summary("filed", "model, dataset, strategy, condition, source_file", ", max_latency_s")),
     "failure_rows": _with(_FAILED, f"select {_KEY}, model, predicted_answer, gold_answer, category from failures"),
     "failure_counts": _with(_FAILED, _COUNTS),
+    "failure_counts_one_model": _with(_FAILED, _COUNTS.replace("select model, ", "select ").replace("from failures", "from failures where model = 'model-1'")),
+    "analyse_failures": _with(_FAILED, _COUNTS),
+    "backfill_logs": _with(_BACKFILLED, f"""select {_KEY}, s substring_match, c is_numeric_close, f token_f1, l rouge_l from fresh"""),
+    "embedding_write_back": _with(_EMBEDDED, "select 'gsm8k' dataset, 'zero_shot_cot' strategy, sample_idx, source_file, bertscore_f1 from marked"),
     "backfill": _with(_BACKFILLED, f"select {_KEY}, {_METRICS} from filled"),
     "metric_rates": _with(_BACKFILLED, _RATES),
     "embedding_f1": _with(_EMBEDDED, "select * from marked"),

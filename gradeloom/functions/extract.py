@@ -57,15 +57,15 @@ def _unmarked_boolean(lowered: Column) -> Column:
 
 def extract_answer(text: Column, dataset: Column) -> Column:
     """Number for the numeric set, yes / no for the boolean set."""
-    return F.when(dataset == "gsm8k", numeric_answer(text)).otherwise(boolean_answer(text))
+    return F.when(F.lower(dataset) == "gsm8k", numeric_answer(text)).otherwise(boolean_answer(text))
 
 
 def gold_answer(answer_raw: Column, dataset: Column) -> Column:
     """Normalised gold: number of the gold chain, or yes / no from a boolean."""
     label = F.when(F.lower(answer_raw) == "true", "yes").otherwise("no")
-    return F.when(dataset == "gsm8k", numeric_answer(answer_raw)).otherwise(label)
+    return F.when(F.lower(dataset) == "gsm8k", numeric_answer(answer_raw)).otherwise(label)
 
 
 def gold_text(answer_raw: Column, gold: Column, dataset: Column) -> Column:
     """Reference text for the overlap metrics: the whole chain, or the label."""
-    return F.when(dataset == "gsm8k", answer_raw).otherwise(gold)
+    return F.when(F.lower(dataset) == "gsm8k", answer_raw).otherwise(gold)

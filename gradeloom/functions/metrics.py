@@ -45,18 +45,6 @@ def f1(common: Column, p_size: Column, r_size: Column) -> Column:
     return F.when(common > 0, 2.0 * precision * recall / (precision + recall)).otherwise(0.0)
 
 
-# Up to this many different shared words they are counted one by one: each count
-# is a tight loop over both arrays, while the single pass of ``_merged_hits`` costs
-# the same as some hundreds of such loops.
-_FEW_SHARED_WORDS = 256
-
-
-def _counted_hits(shared: Column, p: Column, r: Column) -> Column:
-    """Sum over the shared words of the smaller of their two counts."""
-    times = lambda tokens, word: F.size(tokens) - F.size(F.array_remove(tokens, word))
-    return F.aggregate(shared, F.lit(0), lambda hits, word: hits + F.least(times(p, word), times(r, word)))
-
-
 def _merged_hits(p: Column, r: Column) -> Column:
     """One pass over both arrays, merged and sorted: every token of ``r`` takes a not
     yet used equal token of ``p``, which sorts before it."""
@@ -80,7 +68,6 @@ def common_tokens(p: Column, r: Column) -> Column:
     def hits(shared: Column) -> Column:
         return (F.when(F.size(shared) == 0, 0)
                 .when((F.size(p) == 1) | (F.size(r) == 1), 1)
-                .when(F.size(shared) <= _FEW_SHARED_WORDS, _counted_hits(shared, p, r))
                 .otherwise(_merged_hits(p, r)))
 
     return bind(F.array_intersect(p, r), hits)

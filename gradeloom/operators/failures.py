@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from gradeloom.functions.conditions import condition_max_tokens, condition_model
 from gradeloom.functions.failures import failure_category
 from gradeloom.lookups import FAILURE_CATEGORIES, MAX_TOKENS_HINT
+from gradeloom.sources.scratch import written
 
 
 def failure_rows(log: DataFrame, max_tokens_hint: int = MAX_TOKENS_HINT) -> DataFrame:
@@ -22,13 +23,13 @@ def failure_counts(failures: DataFrame, by_model: bool | None = None) -> DataFra
     """Failures per (dataset, strategy) and category, per model too if there are several.
 
     Left open, ``by_model`` is decided on the counts themselves (one row per model
-    and cell, kept for the purpose), so the failures are read once.
+    and cell, written for the purpose), so the failures are read once.
     """
     cell = ["dataset", "strategy"]
     counts = (failures.groupBy("model", *cell).pivot("category", FAILURE_CATEGORIES).count()
               .na.fill(0, FAILURE_CATEGORIES))
     if by_model is None:
-        counts = counts.persist()
+        counts = written(counts, "failure-counts")
         by_model = counts.select("model").distinct().limit(2).count() > 1
     if by_model:
         return counts

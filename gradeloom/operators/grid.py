@@ -6,7 +6,7 @@ neither a join nor a shuffle, whatever the number of samples.
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gradeloom.functions.conditions import condition_label
 from gradeloom.functions.prompts import build_prompt, checked_strategy
@@ -23,11 +23,6 @@ KNOB_TYPES = {
     "self_consistency": "int",
 }
 
-# Conditions are literals of the plan; a sweep with more cells than this should
-# be run in parts.
-MAX_CONDITIONS = 10_000
-
-
 def _knob(name: str, value) -> Column:
     return F.lit(value).cast(KNOB_TYPES[name])
 
@@ -49,24 +44,29 @@ def sweep(df: DataFrame, dims: Iterable[str] = DEFAULT_SWEEP, base: dict | None
     return with_condition(df)
 
 
-def with_conditions(df: DataFrame, conditions: Iterable[dict]) -> DataFrame:
-    """Every row once per listed condition; knobs left out take the base value."""
+def with_conditions(df: DataFrame, conditions: Iterable[dict] | DataFrame) -> DataFrame:
+    """Every row once per condition; knobs left out take the base value.
+
+    Listed conditions are literals of the plan. A table of conditions is numbered, every
+    row is exploded over the numbers, and an equi-join fetches the knobs; nothing of it but
+    its size comes to the driver.
+    """
+    if isinstance(conditions, DataFrame):
+        knobs = [F.coalesce(F.col(n), _knob(n, BASE_CONDITION[n])).alias(n) if n in conditions.columns
+                 and BASE_CONDITION[n] is not None else F.col(n).cast(KNOB_TYPES[n]).alias(n) if n in conditions.columns
+                 else _knob(n, BASE_CONDITION[n]).alias(n) for n in KNOB_TYPES]
+        cells = conditions.select(*knobs)
+        cells = cells.withColumn("_cell", (F.row_number().over(Window.orderBy(*KNOB_TYPES)) - 1).cast("long"))
+        numbers = F.sequence(F.lit(0).cast("long"), F.lit(max(conditions.count(), 1) - 1).cast("long"))
+        return with_condition(df.withColumn("_cell", F.explode(numbers)).join(cells, "_cell").drop("_cell"))
     cells = [{**BASE_CONDITION, **c} for c in conditions]
-    if not 0 < len(cells) <= MAX_CONDITIONS:
-        raise ValueError(f"Expected 1 to {MAX_CONDITIONS} conditions, got {len(cells)}.")
+    if not cells:
+        raise ValueError("Expected at least one condition.")
     structs = [F.struct(*[_knob(n, c[n]).alias(n) for n in KNOB_TYPES]) for c in cells]
     exploded = df.withColumn("_cell", F.explode(F.array(*structs)))
     return with_condition(exploded.select(*df.columns, "_cell.*"))
 
 
-def conditions_of(frame: DataFrame) -> list[dict]:
-    """Read a small table of conditions; fails rather than collect a large one."""
-    rows = frame.select(*KNOB_TYPES).limit(MAX_CONDITIONS + 1).collect()
-    if len(rows) > MAX_CONDITIONS:
-        raise ValueError(f"More than {MAX_CONDITIONS} conditions.")
-    return [row.asDict() for row in rows]
-
-
 def with_strategies(df: DataFrame, strategies: Iterable[str] = STRATEGIES) -> DataFrame:
     return df.withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in strategies])))
 

@@ -8,18 +8,23 @@ from gradeloom.operators.once import compute_once
 from gradeloom.schemas import KEY
 
 
+_RECORD = ["text", "prompt_tokens", "completion_tokens", "latency_s"]
+
+
 def paths_by_key(generations: DataFrame, max_paths: int) -> DataFrame:
-    """One row per key: its texts by path number, and its token counts.
+    """One row per key: its texts by path number, and the token counts of its first path.
 
-    Each path has its own slot, so the state per key is bounded by ``max_paths``
-    texts and is combined before the shuffle; texts of higher path numbers are
-    not asked for. Repeated records of one path keep the greatest text.
+    Paths beyond ``max_paths`` are left out before anything is combined. Each path has
+    its own slot, so the state per key is bounded by ``max_paths`` records and is
+    combined before the shuffle. Of repeated records of one path the greatest is kept as
+    a whole: by text, then tokens and latency, so that values of one call stay together.
     """
-    slots = [F.max(F.when(F.col("path_no") == i, F.col("text"))).alias(f"_path{i}") for i in range(max_paths)]
-    totals = [F.max(c).alias(c) for c in ("prompt_tokens", "completion_tokens", "latency_s")]
-    return (generations.groupBy(*KEY).agg(*slots, *totals)
-            .withColumn("texts", F.array(*[f"_path{i}" for i in range(max_paths)]))
-            .drop(*[f"_path{i}" for i in range(max_paths)]))
+    wanted = generations.where((F.col("path_no") >= 0) & (F.col("path_no") < max_paths))
+    slots = [F.max(F.when(F.col("path_no") == i, F.struct(*_RECORD))).alias(f"_path{i}") for i in range(max_paths)]
+    paths = [F.col(f"_path{i}") for i in range(max_paths)]
+    return wanted.groupBy(*KEY).agg(*slots).select(
+        *KEY, F.array(*[p["text"] for p in paths]).alias("texts"), F.coalesce(*paths).alias("_call")).select(
+        *KEY, "texts", *[F.col(f"_call.{c}").alias(c) for c in _RECORD[1:]])
 
 
 def attach_generations(prompts: DataFrame, generations: DataFrame, max_paths: int) -> DataFrame:

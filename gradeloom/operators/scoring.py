@@ -44,7 +44,7 @@ def score_rows(rows: DataFrame) -> DataFrame:
     The text columns keep their newlines; only a flat-file sink replaces them.
     """
     predicted, gold = F.col("predicted_answer"), F.col("gold_answer")
-    close = F.when(F.col("dataset") == "gsm8k", M.numeric_close(predicted, gold)).otherwise(0)
+    close = F.when(F.lower("dataset") == "gsm8k", M.numeric_close(predicted, gold)).otherwise(0)
     scored = (with_overlap(exact_match_rows(rows), "gold_text")
               .withColumn("substring_match",
                           M.substring_match(M.prediction_or_text(predicted, F.col("generation")), gold))
@@ -81,7 +81,7 @@ def backfill(log: DataFrame, overwrite: bool = False) -> DataFrame:
             .withColumn("generation", F.when(F.col("_todo"), text))
             .withColumn("gold", F.when(F.col("_todo"), gold))
             .withColumn("predicted", F.when(F.col("_todo"), predicted)))
-    close = F.when(F.col("_old.dataset") == "gsm8k", M.numeric_close(F.col("predicted"), F.col("gold"))).otherwise(0)
+    close = F.when(F.lower("_old.dataset") == "gsm8k", M.numeric_close(F.col("predicted"), F.col("gold"))).otherwise(0)
     scored = (with_overlap(rows, "gold")
               .withColumn(fresh["substring_match"], M.substring_match(
                   M.prediction_or_text(F.col("predicted"), F.col("generation")), F.col("gold")))

@@ -13,6 +13,7 @@ from gradeloom.functions.conditions import condition_model, condition_without_mo
 from gradeloom.functions.prompts import checked_dataset
 from gradeloom.functions.text import py_round
 from gradeloom.lookups import DATASETS
+from gradeloom.operators.scoring import exact_match_rows
 
 CELL = ["dataset", "strategy", "condition"]
 MODEL_CELL = ["model", "dataset", "strategy", "condition", "source_file"]
@@ -114,11 +115,12 @@ def em_pivot(summary: DataFrame, datasets: Iterable[str] = DATASETS) -> DataFram
 
 
 def dataset_em(rows: DataFrame) -> DataFrame:
-    """Exact match of each known dataset in percent, 0.0 without rows; unknown names fail."""
-    name = checked_dataset(F.col("dataset"))
-    counted = rows.select(name.alias("name"), "is_correct").agg(*[
-        F.struct(F.lit(d).alias("dataset"), F.count_if(F.col("name") == d).alias("n"),
-                 F.coalesce(F.avg(F.when(F.col("name") == d, F.col("is_correct"))) * 100.0, F.lit(0.0)).alias("em"),
+    """Exact match of generations per dataset in percent, 0.0 without rows; names in any case, unknown ones fail."""
+    named = exact_match_rows(rows.withColumn("dataset", checked_dataset(F.col("dataset"))))
+    name = F.col("dataset")
+    counted = named.select("dataset", "is_correct").agg(*[
+        F.struct(F.lit(d).alias("dataset"), F.count_if(name == d).alias("n"),
+                 F.coalesce(F.avg(F.when(name == d, F.col("is_correct"))) * 100.0, F.lit(0.0)).alias("em"),
                  ).alias(d) for d in DATASETS])
     return counted.select(F.inline(F.array(*DATASETS)))
 

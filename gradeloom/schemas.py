@@ -4,6 +4,7 @@ from pyspark.sql import types as T
 
 KEY = ["dataset", "strategy", "sample_idx", "condition"]
 
+# The field names and layouts of the log format, which must match.
 SCORE_METRICS = ["substring_match", "is_numeric_close", "token_f1", "rouge_l"]
 
 _LOG_FIELDS = [

@@ -1,23 +1,22 @@
 """Run logs: CSV logs of any layout, and the Parquet log of this library."""
 
+import csv
 import warnings
 from collections.abc import Iterable
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gradeloom.functions.text import flatten_newlines
 from gradeloom.schemas import LOG_TYPES, RUN_LOG
-from gradeloom.sources.tables import join_per_file
 
 # Quotes are doubled, fields may span lines, blanks belong to the text.
 _CSV = {
     "quote": '"', "escape": '"', "multiLine": True, "encoding": "UTF-8",
     "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
 }
-_WIDEST = 40
-
 
 def _readable(spark: SparkSession, paths: Iterable[str]) -> list[str]:
     found = []
@@ -30,25 +29,37 @@ def _readable(spark: SparkSession, paths: Iterable[str]) -> list[str]:
     return found
 
 
-def _wide_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """CSV rows as they come, headers included: an array of fields and the file."""
-    wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(_WIDEST)])
-    raw = spark.read.schema(wide).options(**_CSV).csv(paths)
-    return raw.select(F.array(*wide.names).alias("_cells"), F.col("_metadata.file_path").alias("_file"),
-                      F.col("_metadata.file_name").alias("source_file"))
-
-
-def _is_header(cells: Column) -> Column:
-    named = [F.array_contains(cells, name) for name in ("dataset", "strategy", "sample_idx")]
-    # array_contains is NULL rather than false where a field is NULL.
-    return F.coalesce(named[0] & named[1] & named[2], F.lit(False))
-
+def _layouts(spark: SparkSession, paths: list[str]) -> tuple[dict[tuple[str, ...], list[str]], int]:
+    """Column names -> files whose first header has them; and the number of all files.
 
-def _column_places(rows: DataFrame) -> DataFrame:
-    """File -> place of each known column in it (NULL where it has none)."""
-    headers = rows.where(_is_header(F.col("_cells")))
-    place = lambda name: F.nullif(F.array_position("_cells", name), F.lit(0)).alias(f"_at_{name}")
-    return headers.select("_file", *[place(name) for name in LOG_TYPES]).dropDuplicates(["_file"])
+    Headers come from a scan of lines, which can be split. The driver gets one
+    line per file, as it lists the files anyway.
+    """
+    lines = spark.read.text(paths)
+    named = [F.contains("value", F.lit(name)) for name in ("dataset", "strategy", "sample_idx")]
+    heads = lines.where(named[0] & named[1] & named[2]).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at")).alias("place"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    heads = heads.withColumn("value", F.regexp_replace("value", "[\ufeff\r]", ""))
+    for row in heads.groupBy("file").agg(F.min_by("value", "place").alias("header")).orderBy("file").collect():
+        names = tuple(next(csv.reader([row["header"]])))
+        if {"dataset", "strategy", "sample_idx"} <= set(names):
+            found.setdefault(names, []).append(unquote(row["file"]))
+    return found, len(lines.inputFiles())
+
+
+def _read_layout(spark: SparkSession, files: list[str], layout: Iterable[str]) -> DataFrame:
+    """Files that are all alike: the known columns as text (NULL where missing) and ``source_file``."""
+    names: list[str] = []
+    for i, name in enumerate(layout):
+        names.append(name if name in LOG_TYPES and name not in names else f"_c{i}")
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    rows = spark.read.schema(schema).options(**_CSV, header=True).csv(files)
+    repeated = (F.col("dataset") == "dataset") & (F.col("strategy") == "strategy")
+    kept = rows.where(~F.coalesce(repeated, F.lit(False)))
+    return kept.select(*[F.col(n) if n in names else F.lit(None).cast("string").alias(n) for n in LOG_TYPES],
+                       F.col("_metadata.file_name").alias("source_file"))
 
 
 def _typed(value: Column, kind: T.DataType) -> Column:
@@ -64,33 +75,27 @@ def read_run_logs(spark: SparkSession, paths: Iterable[str], layout: list[str] |
                   required: Iterable[str] = ()) -> DataFrame:
     """CSV run logs as one frame, tagged with ``source_file``.
 
-    Logs of any layout may be mixed: a first scan keeps the header row of each
-    file, and every row then takes its fields from the places its own header
-    names. Give the ``layout`` of logs that are all alike to save that scan.
-    Columns a file lacks are NULL. An empty ``generation`` or ``predicted_answer``
-    is the empty string; empty metrics stay NULL. Files without a header or
-    without the ``required`` columns are skipped with a warning.
+    Logs of any layout and width may be mixed: the header of each file is looked
+    up first, and files with the same columns are then read together, each once. Give
+    the ``layout`` of logs that are all alike to save that scan. Columns a file lacks
+    are NULL. An empty ``generation`` or ``predicted_answer`` is the empty string; empty
+    metrics stay NULL. Files without a header or without the ``required`` columns are
+    skipped with a warning.
     """
     found = _readable(spark, paths)
-    if not found:
+    if layout is not None and found:
+        groups = {tuple(layout): found}
+    else:
+        groups, listed = _layouts(spark, found) if found else ({}, 0)
+        groups = {names: files for names, files in groups.items() if set(required) <= set(names)}
+        skipped = listed - sum(map(len, groups.values()))
+        if skipped:
+            warnings.warn(f"Skipped {skipped} of {listed} files: no run-log header with the required columns.")
+    if not groups:
         names = T.StructType([T.StructField(n, t) for n, t in LOG_TYPES.items()])
         return spark.createDataFrame([], names.add("source_file", "string"))
-    if layout is not None:
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in layout])
-        rows = spark.read.schema(schema).options(**_CSV, header=True).csv(found)
-        rows = rows.withColumn("source_file", F.col("_metadata.file_name"))
-        field = lambda name: F.col(name) if name in layout else F.lit(None).cast("string")
-    else:
-        raw = _wide_rows(spark, found)
-        listed = len(raw.inputFiles())
-        places = _column_places(raw)
-        usable = reduce(lambda a, c: a & F.col(f"_at_{c}").isNotNull(), required, F.lit(True))
-        kept = places.where(usable).count()
-        if kept < listed:
-            warnings.warn(f"Skipped {listed - kept} of {listed} files: no run-log header with the required columns.")
-        rows = join_per_file(raw.where(~_is_header(F.col("_cells"))), places.where(usable), listed)
-        field = lambda name: F.get("_cells", F.col(f"_at_{name}").cast("int") - 1)
-    log = rows.select(*[_typed(field(n), t).alias(n) for n, t in LOG_TYPES.items()], "source_file")
+    rows = reduce(DataFrame.unionByName, [_read_layout(spark, files, names) for names, files in groups.items()])
+    log = rows.select(*[_typed(F.col(n), t).alias(n) for n, t in LOG_TYPES.items()], "source_file")
     return log.withColumns({c: F.coalesce(c, F.lit("")) for c in ("generation", "predicted_answer")})
 
 
@@ -106,9 +111,10 @@ def append_log(scored: DataFrame, path: str) -> None:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Read a Parquet log written by ``append_log`` or the streaming sink."""
-    schema = T.StructType([*RUN_LOG.fields, T.StructField("answer_raw", T.StringType())])
-    return spark.read.schema(schema).parquet(path)
+    """Read a Parquet log written by ``append_log``, ``write_back`` or the streaming sink; NULL where it lacks a column."""
+    more = [T.StructField("answer_raw", T.StringType()), T.StructField("bertscore_f1", T.DoubleType()),
+            T.StructField("source_file", T.StringType())]
+    return spark.read.schema(T.StructType([*RUN_LOG.fields, *more])).parquet(path)
 
 
 def write_back(log: DataFrame, path: str) -> None:

@@ -1,20 +1,32 @@
 """Where intermediate tables go."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder named in ``spark.checkpoint.dir``.
 
-    A local session without the setting uses a new temporary folder; elsewhere
-    the setting is required, as tasks on other machines must see the folder.
+    A local session without the setting uses a new temporary folder, which goes
+    when the process ends; elsewhere the setting is required, as tasks on other
+    machines must see the folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
             raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
         root = tempfile.mkdtemp(prefix="gradeloom-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back, for what is used more than once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

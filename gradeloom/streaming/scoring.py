@@ -22,14 +22,17 @@ def running_summary(spark: SparkSession, totals: str) -> DataFrame:
     return finish_summary(merge_partials(spark.read.parquet(totals)))
 
 
-def score_stream(rows: DataFrame, sink: str, checkpoint: str, totals: str | None = None) -> StreamingQuery:
+def score_stream(rows: DataFrame, sink: str, checkpoint: str, totals: str | None = None,
+                 trigger: dict | None = None) -> StreamingQuery:
     """Score a stream of raw generation rows into a Parquet log.
 
     Each micro-batch leaves out keys that earlier batches have scored and goes to
     a folder of its own, which a repeated batch replaces: a restart neither loses
     nor doubles a row. The known keys are looked up in the log (four columns of
     it), so no state is kept that grows with the stream. ``totals`` receives the
-    sums of each batch for ``running_summary``.
+    sums of each batch for ``running_summary``. Of rows with one key in a batch the one
+    with the greatest text counts, whatever their order. ``trigger`` holds the arguments of
+    Spark's trigger; left out, the query takes what is there and ends.
     """
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -43,18 +46,20 @@ def score_stream(rows: DataFrame, sink: str, checkpoint: str, totals: str | None
         # Keys of this batch that are known: a small batch is broadcast to the scan
         # of the log, which then needs no shuffle.
         known = logged.join(batch.select(*KEY).distinct(), KEY, "left_semi").distinct()
-        fresh = batch.dropDuplicates(KEY).join(known, KEY, "left_anti")
+        order = ["generation", *sorted(c for c in batch.columns if c not in (*KEY, "generation"))]
+        single = batch.groupBy(*KEY).agg(F.max(F.struct(*order)).alias("_row")).select(*KEY, "_row.*")
+        fresh = single.join(known, KEY, "left_anti")
         scored = score_rows(fresh)
         scored.write.mode("overwrite").partitionBy("dataset", "strategy").parquet(f"{sink}/{place}")
         if totals:
             written = read_scores(spark, sink).where(
                 (F.col("query_id") == query_id) & (F.col("batch_id") == batch_id))
-            summary_partials(written).coalesce(1).write.mode("overwrite").parquet(f"{totals}/{place}")
+            summary_partials(written).write.mode("overwrite").parquet(f"{totals}/{place}")
 
     _create_folder(rows.sparkSession, sink)
     return (rows.writeStream.foreachBatch(score_batch)
             .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
+            .trigger(**(trigger or {"availableNow": True}))
             .start())
 
 

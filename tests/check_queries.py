@@ -54,7 +54,7 @@ if __name__ == "__main__":
     from conftest import make_session
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(entry.queries())
+    names = sys.argv[2:] or list(entry.oracle_sql())
     session, db = make_session(), connect(folder)
     failed = 0
     for name in names:

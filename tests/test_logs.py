@@ -185,9 +185,6 @@ def test_summary(spark, tmp_path):
     assert (model["model"], model["max_latency_s"]) == ("m/1", 0.5) and "model=" not in model["condition"]
     pivot = SU.em_pivot(SU.condition_summary(scored)).collect()
     assert pivot == [("zero_shot_cot", 33.333333, None)]
-    assert SU.dataset_em(scored).collect() == [("gsm8k", 3, 1 / 3 * 100), ("strategyqa", 0, 0.0)]
-    with pytest.raises(Exception, match="Unknown dataset"):
-        SU.dataset_em(scored.withColumn("dataset", F.lit("other"))).collect()
     reports.write_summary(SU.condition_summary(scored), str(tmp_path))
     names = os.listdir(tmp_path / "summary.json")
     part = [n for n in names if n.endswith(".json")]
@@ -205,3 +202,33 @@ def test_partial_summaries_add_up(spark):
 
 def test_log_columns_keep_their_order():
     assert LOG_V1 == LOG_COLUMNS[:9] and len(LOG_V2) == 14 and len(LOG_V3) == 18
+
+
+def test_dataset_em_takes_texts_and_names_in_any_case(spark):
+    rows = spark.createDataFrame(
+        [("GSM8K", "#### 5", "Answer: 5"), ("gsm8k", "#### 5", "Answer: 6"), ("Gsm8k", "#### 1,000", "so 1000"), ("StrategyQA", "true", "Answer: yes")],
+        "dataset string, answer_raw string, generation string").withColumns({"prompt_tokens": F.lit(1), "completion_tokens": F.lit(1)})
+    assert SU.dataset_em(rows).collect() == [("gsm8k", 3, 2 / 3 * 100), ("strategyqa", 1, 100.0)]
+    assert SU.dataset_em(rows.limit(0)).collect() == [("gsm8k", 0, 0.0), ("strategyqa", 0, 0.0)]
+    with pytest.raises(Exception, match="Unknown dataset"):
+        SU.dataset_em(rows.withColumn("dataset", F.lit("other"))).collect()
+
+
+def test_columns_behind_many_others_are_read(spark, tmp_path):
+    wide = [f"x{i}" for i in range(60)] + LOG_V2
+    values = {"dataset": "gsm8k", "strategy": "s", "sample_idx": "7", "generation": "a, \"b\"\nc", "gold_answer": "0", "condition": "late"}
+    with open(tmp_path / "run_1.csv", "w", newline="") as file:
+        writer = csv.DictWriter(file, wide, restval="")
+        writer.writeheader()
+        writer.writerow(values)
+        writer.writeheader()  # a header once more, as appended logs have it
+        writer.writerow({**values, "sample_idx": "8"})
+    rows = runlog.read_run_logs(spark, [str(tmp_path / "run_1.csv")], required=["generation", "condition"]).orderBy("sample_idx").collect()
+    assert [(r.sample_idx, r.generation, r.gold_answer, r.condition) for r in rows] == [(i, 'a, "b"\nc', "0", "late") for i in (7, 8)]
+
+
+def test_log_keeps_embedding_scores(spark, tmp_path):
+    log = spark.createDataFrame([("gsm8k", "s", 1, 0.5, "run_1.csv")], "dataset string, strategy string, sample_idx long, bertscore_f1 double, source_file string")
+    runlog.write_back(log, f"{tmp_path}/log")
+    row = runlog.read_log(spark, f"{tmp_path}/log").collect()[0]
+    assert (row.bertscore_f1, row.source_file, row.generation) == (0.5, "run_1.csv", None)

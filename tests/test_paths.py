@@ -52,7 +52,7 @@ def test_each_prompt_gets_exactly_n_texts(spark):
     rows = {r["sample_idx"]: r for r in P.attach_generations(grid, generations(spark), 3).collect()}
     assert rows[0]["texts"] == ["Answer: 0", "Answer: 9", "Answer: 0"]
     assert rows[1]["texts"] == ["", "Answer: 1", ""]
-    assert rows[2]["texts"] == ["", "", ""] and rows[2]["completion_tokens"] == 20
+    assert rows[2]["texts"] == ["", "", ""] and rows[2]["completion_tokens"] == 0  # no path that is asked for
     assert rows[3]["texts"] == ["", "", ""]
     assert (rows[3]["prompt_tokens"], rows[3]["completion_tokens"], rows[3]["latency_s"]) == (0, 0, 0.0)
     long = P.explode_paths(P.attach_generations(grid, generations(spark), 3))
@@ -88,3 +88,9 @@ def test_most_paths_covers_every_condition():
     assert EV.most_paths() == 1
     assert EV.most_paths([{"self_consistency": 4}, {}]) == 4
     assert EV.most_paths(base={"self_consistency": 7}, dims=["structured"]) == 7
+
+
+def test_repeated_records_are_taken_whole(spark):
+    rows = [("gsm8k", "s", 1, "c", 0, "Answer: 5", 10, 1, 0.5), ("gsm8k", "s", 1, "c", 0, "zzz", 3, 9, 0.1), ("gsm8k", "s", 1, "c", 1, "b", 7, 7, 7.0)]
+    got = P.paths_by_key(spark.createDataFrame(rows, GENERATIONS), 2).collect()[0]
+    assert (got["texts"], got["prompt_tokens"], got["completion_tokens"], got["latency_s"]) == (["zzz", "b"], 3, 9, 0.1)

@@ -63,6 +63,8 @@ def test_hot_cell_in_the_summary(spark):
     assert "partial_sum" in plan_of(summary)
 
 
-def test_path_numbering_is_cut_before_the_shuffle(spark):
-    plan = plan_of(I.path_generations(spark, "/root/testdata/sf0.001"))
-    assert plan.count("WindowGroupLimit") == 2
+def test_paths_not_asked_for_are_left_out_before_the_shuffle(spark):
+    plan = plan_of(P.paths_by_key(I.path_generations(spark, "/root/testdata/sf0.001"), 5))
+    lines = plan.split("\n")
+    below = [i for i, line in enumerate(lines) if "Aggregate" in line][-1]
+    assert any("Filter" in line and "path_no" in line or "Filter" in line and "_no" in line for line in lines[below:])
