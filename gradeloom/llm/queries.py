@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, mixing, pii, quality, records, sharding, sigtree, simhash, suffix, tokens
 from .shared import documents
+from .sql import ORACLES  # noqa: F401
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,4 +51,3 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_token_records, op3_decontamination, op4_suffix_dedup, op5_mixing, op6_jump_sharding, op7_simhash,
     op8_signature_trees, op9_quality, op10_pii)}
-ORACLES: dict[str, str] = {}
