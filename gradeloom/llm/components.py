@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import stored
+from .shared import release, stored
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
                  .union(lowest.select("a", "m")).distinct())
-        edges = stored(small, "links")
+        before, edges = edges, stored(small, "links")
+        release(before, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

@@ -7,7 +7,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import whole_text
+from .shared import parts, whole_text
 
 ERROR_EVERY = 12  # characters of an item for each allowed edit
 MIN_CHARS = 40  # shorter items are no evidence of a leak
@@ -132,7 +132,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, error_every: int = ERROR_EVERY,
 
         def match(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(held.value, error_every)
-            for batch in batches:
+            for batch in parts(batches):
                 out = [(d, *m) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for m in matcher.find(t)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], _NAMES)
@@ -149,7 +149,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, error_every: int = ERROR_E
 
         def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(held.value, error_every)
-            for batch in batches:
+            for batch in parts(batches):
                 yield batch.filter(pa.array([next(matcher.find(t or ""), None) is None for t in batch.column("text").to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)

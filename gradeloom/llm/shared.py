@@ -12,7 +12,15 @@ from gradeloom.sources.scratch import scratch_path
 SLICE_BYTES = 1 << 20  # text that is expanded into numpy arrays at a time
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold this many rows at most from now on: documents are long, and a batch is held several times over."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -28,6 +36,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` that nothing will read again."""
+    for df in tables:
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def running_start(df: DataFrame, by: str, order: list[str], value: Column, out: str, buckets: int = 4096) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows before this one in its group.
 
@@ -40,11 +56,17 @@ def running_start(df: DataFrame, by: str, order: list[str], value: Column, out:
     before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(by, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
     within = Window.partitionBy(by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (rows.join(base, [by, "_bucket"])
+    return (rows.join(base.hint("merge"), [by, "_bucket"])
             .withColumn(out, (F.col("_base") + F.coalesce(F.sum("_value").over(within), F.lit(0))).cast("long"))
             .drop("_value", "_bucket", "_base"))
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Batches cut small, for work on Python strings."""
+    for batch in batches:
+        yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def text_slices(batch: pa.RecordBatch | pa.Table, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut the text column of a batch into runs of rows of about ``limit`` bytes, at least one row each.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
 from .filters import id_bitmap, maybe_in, without_ids
-from .shared import stored, text_slices, whole_text
+from .shared import release, stored, text_slices, whole_text
 from .words import distinct, mix, range_hash, shingle_hashes, word_hashes
 
 LEVEL_BITS = 18  # counters of how often shingles occur
@@ -246,15 +246,20 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     union; component_id is the smallest doc_id reachable. Equal sets are one class from the start, whatever their number. Rows with one
     doc_id are one document with several sets. Rows with a null id reach their class's smallest id, or null. Empty table: no rows.
     """
-    rows = stored(prefix_rows(docs, size, percent, shingle_levels(docs, size)), "shingle-prefixes")
-    classes = stored(rows.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("map").alias("map")), "shingle-classes")
-    links = similar_links(docs, classes.where("rep is not null"), size, percent)
+    wide = stored(prefix_rows(docs, size, percent, shingle_levels(docs, size)), "shingle-prefixes")
+    rows = stored(wide.select("doc_id", "n", "c1", "c2"), "shingle-counts")
+    classes = stored(wide.where("n > 0").groupBy("c1", "c2").agg(
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("map").alias("map")), "shingle-classes")
+    release(wide)
+    links = stored(similar_links(docs, classes.where("rep is not null"), size, percent), "similar-links")
+    names = stored(classes.select("c1", "c2", "rep"), "class-names")
+    release(classes)
+    named = rows.where("n > 0").join(names.hint("merge"), ["c1", "c2"])
     # Rows with one id but different sets tie their classes together.
-    named = rows.where("n > 0").select("doc_id", "n", "c1", "c2").join(classes.select("c1", "c2", "rep"), ["c1", "c2"])
-    ties = named.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(
-        rows.groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select(F.col("doc_id").alias("a")), "a", "left_semi")
+    several = rows.groupBy("doc_id").agg(F.count("*").alias("_rows")).where("_rows > 1").select(F.col("doc_id").alias("a"))
+    ties = named.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(several.hint("merge"), "a", "left_semi")
     found = connected_components(links.union(ties))
-    filled = named.join(found, named["rep"] == found["node"], "left").select(
+    filled = named.join(found.hint("merge"), named["rep"] == found["node"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     return filled.union(rows.where("n = 0").select("doc_id", "n", "doc_id"))
 
