@@ -8,31 +8,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gradeloom.llm import decontaminate, mixing, quality, records, sigtree
-from gradeloom.llm.shared import documents, stored
+from gradeloom.llm.shared import bounded_batches, documents, stored
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labelled ones among them, does not reject."""
+    bounded_batches(spark)
     return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by 80 % of their five-word shingles, the one with the smallest id."""
+    bounded_batches(spark)
     return sigtree.drop_similar(docs, size=5, percent=80)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
+    bounded_batches(spark)
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' words in the amounts that their sources are to have."""
+    bounded_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Records of token ids, written and read back: doc_id, start, n_tokens, ids_crc32."""
+    bounded_batches(spark)
     return records.token_records(docs)
 
 
