@@ -21,8 +21,9 @@ SEPARATOR = 50256  # <|endoftext|>, which encoding never gives here
 BLOCK_BYTES = 4 << 20
 
 _CACHED = 400_000  # pieces in each of two generations
-#: Texts that are not cut at blanks before encoding: doubled or other blanks, the markers used below, special tokens.
-_WHOLE = re.compile(r"[^\S\n ]|[ \n]{2}|[\0\1]|<\|")
+#: Texts that are not cut at blanks before encoding have other blanks or the markers used below, two blanks in a row, or special tokens.
+_OTHER_BLANKS = re.compile("[\0\1\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+_PAIRS = ("  ", "\n\n", " \n", "\n ", "<|")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -31,6 +32,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: A piece that begins with Latin letters and goes on with ASCII punctuation is always split there too.
+_WORD_REST = re.compile(r"([\0\1]?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~].*)", re.DOTALL)
+
+
 class Encoder:
     """Encodes texts with the tokenizers library, remembering what it gave for pieces between blanks.
 
@@ -47,22 +52,31 @@ class Encoder:
         self.tokenizer.encode_special_tokens = plain_specials
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"  # of array
+        self.line_end_id, = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = array(self.code, [self.line_end_id]).tobytes()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian bytes of ``dtype``."""
-        pieces: list[list[str] | None] = []
-        for text in texts:
-            if _WHOLE.search(text):
-                pieces.append(None)
+        out, late, whole, missing = [], [], [], set()
+        for i, text in enumerate(texts):
+            if _OTHER_BLANKS.search(text) or any(p in text for p in _PAIRS):
+                whole.append(i)
+                out.append(b"")
+                continue
+            pieces = text.replace("\n", " \0").split(" ")
+            pieces[0] = "\1" + pieces[0]
+            ids = list(map(self.young.get, pieces))
+            if None in ids:
+                missing.update(p for p, known in zip(pieces, ids) if known is None)
+                late.append((i, pieces))
+                out.append(b"")
             else:
-                cut = text.replace("\n", " \0").split(" ")
-                cut[0] = "\1" + cut[0]
-                pieces.append(cut)
-        self._learn(set().union(*(p for p in pieces if p)) - self.young.keys())
-        out = [b"" if p is None else b"".join(map(self.young.__getitem__, p)) for p in pieces]
-        whole = [i for i, p in enumerate(pieces) if p is None]
+                out.append(b"".join(ids))
+        self._learn(missing)
+        for i, pieces in late:
+            out[i] = b"".join(map(self.young.__getitem__, pieces))
         for i, found in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
             out[i] = array(self.code, found.ids).tobytes()
         if len(self.young) > _CACHED:
@@ -70,17 +84,32 @@ class Encoder:
         return out
 
     def _learn(self, keys: set[str]) -> None:
-        missing = []
+        young, old = self.young, self.old
+        atoms: list[tuple[str, bytes, list[str]]] = []
+        missing: set[str] = set()
         for key in keys:
-            if (ids := self.old.get(key)) is None:
-                missing.append(key)
-            else:
-                self.young[key] = ids
+            if (ids := old.get(key)) is not None:
+                young[key] = ids
+                continue
+            # A line end is always split from what follows it.
+            head, rest = (self.line_end, "\1" + key[1:]) if key[:1] == "\0" else (b"", key)
+            split = _WORD_REST.match(rest)
+            parts = [split[1], "\1" + split[2]] if split else [rest]
+            atoms.append((key, head, parts))
+            missing.update(parts)
+        missing = [k for k in missing if k not in young and k not in old]
         for at in range(0, len(missing), 1000):
             some = missing[at:at + 1000]
-            words = ["\n" + k[1:] if k[:1] == "\0" else k[1:] if k[:1] == "\1" else " " + k for k in some]
-            for key, found in zip(some, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-                self.young[key] = array(self.code, found.ids).tobytes()
+            words = [w for k in some for w in (k[1:] if k[:1] == "\1" else " " + k, "\n")]
+            found = np.array(self.tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, self.dtype)
+            ends = (np.flatnonzero(found == self.line_end_id) * self.dtype.itemsize).tolist()
+            data, begin = found.tobytes(), 0
+            for key, end in zip(some, ends, strict=True):
+                young[key] = data[begin:end]
+                begin = end + self.dtype.itemsize
+        for key, head, parts in atoms:
+            ids = [young[p] if p in young else old[p] for p in parts]
+            young[key] = head + ids[0] if len(ids) == 1 else head + ids[0] + ids[1]
 
 
 @lru_cache(4)
