@@ -54,6 +54,8 @@ class Encoder:
         self.code = "H" if self.dtype.itemsize == 2 else "I"  # of array
         self.line_end_id, = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line_end = array(self.code, [self.line_end_id]).tobytes()
+        blank = array(self.code, self.tokenizer.encode(" ", add_special_tokens=False).ids).tobytes()
+        self.bare = {"\1": b"", "": blank}  # what lines can't hold
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -68,15 +70,18 @@ class Encoder:
             pieces = text.replace("\n", " \0").split(" ")
             pieces[0] = "\1" + pieces[0]
             ids = list(map(self.young.get, pieces))
-            if None in ids:
-                missing.update(p for p, known in zip(pieces, ids) if known is None)
-                late.append((i, pieces))
+            gaps = [(k, pieces[k]) for k, known in enumerate(ids) if known is None] if None in ids else []
+            if gaps:
+                missing.update(p for _, p in gaps)
+                late.append((i, ids, gaps))
                 out.append(b"")
             else:
                 out.append(b"".join(ids))
         self._learn(missing)
-        for i, pieces in late:
-            out[i] = b"".join(map(self.young.__getitem__, pieces))
+        for i, ids, gaps in late:
+            for k, piece in gaps:
+                ids[k] = self.young[piece]
+            out[i] = b"".join(ids)
         for i, found in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
             out[i] = array(self.code, found.ids).tobytes()
         if len(self.young) > _CACHED:
@@ -97,11 +102,13 @@ class Encoder:
             parts = [split[1], "\1" + split[2]] if split else [rest]
             atoms.append((key, head, parts))
             missing.update(parts)
+        young |= self.bare
         missing = [k for k in missing if k not in young and k not in old]
         for at in range(0, len(missing), 1000):
             some = missing[at:at + 1000]
-            words = [w for k in some for w in (k[1:] if k[:1] == "\1" else " " + k, "\n")]
-            found = np.array(self.tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, self.dtype)
+            # One to a line; a line end between other characters is split from both.
+            lines = "".join((k[1:] if k[:1] == "\1" else " " + k) + "\n" for k in some)
+            found = np.array(self.tokenizer.encode_batch_fast([lines], add_special_tokens=False)[0].ids, self.dtype)
             ends = (np.flatnonzero(found == self.line_end_id) * self.dtype.itemsize).tolist()
             data, begin = found.tobytes(), 0
             for key, end in zip(some, ends, strict=True):
