@@ -13,6 +13,7 @@ from .shared import running_start, stored, whole_text
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 32
 SHARD_BLOCKS = 4096
+TASK_SLOTS = 100_000
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5  # of all words, to be taken
 REPEATS = 2.0  # times its size, the most that is taken of a source
@@ -66,8 +67,8 @@ def draw_blocks(plan: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = 0
     through the permutation of its source and round: each round passes over every block once before any comes again. Draws
     depend on the seed and the source's number alone, so that lost tasks and reruns give the same.
     """
-    shards = F.greatest(F.lit(1), F.ceil(F.sum("slots").over(Window.partitionBy()) / shard_blocks)).cast("long")
-    plan = plan.withColumn("shards", shards)
+    slots = plan.agg(F.sum("slots")).first()[0] or 0
+    plan = plan.withColumn("shards", F.lit(max(1, -(-slots // shard_blocks))).cast("long"))
 
     def draw(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -89,7 +90,8 @@ def draw_blocks(plan: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = 0
 
     drawn = (plan.where("slots > 0").select("number", "blocks", "slots", "shards")
              .mapInPandas(draw, "number int, blocks long, shard long, start long, count long"))
-    return (drawn.repartition(F.col("number"), F.col("shard"))
+    # An explicit number, as the few bytes of the draws say nothing about the slots they grow to.
+    return (drawn.repartition(max(1, -(-slots // TASK_SLOTS)), "number", "shard")
             .mapInPandas(place, "number int, shard long, slot long, copy long, block long"))
 
 
@@ -117,7 +119,7 @@ def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 0, **ta
     begin = F.greatest("start", F.col("block") * block_words)
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
     pieces = (spans.select("number", "block", "start", (begin - F.col("start")).alias("first"), (end - begin).alias("words"))
-              .join(taken, ["number", "block"]))
+              .join(taken.hint("merge"), ["number", "block"]))
     return placed, pieces
 
 
@@ -131,7 +133,7 @@ def mixed_counts(docs: DataFrame, **options) -> DataFrame:
     taken = pieces.groupBy("number", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     # Documents with words start at places of their own.
     placed = placed.withColumn("_at", F.when(F.col("size") > 0, F.col("start")))
-    joined = placed.join(taken.withColumnRenamed("start", "_at"), ["number", "_at"], "left")
+    joined = placed.join(taken.withColumnRenamed("start", "_at").hint("merge"), ["number", "_at"], "left")
     return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -145,7 +147,7 @@ def mixed_documents(docs: DataFrame, block_words: int = 256, **options) -> DataF
     placed, pieces = mixture(docs, block_words, **options)
     piece = F.struct("first", "words", "times")
     taken = pieces.groupBy("number", "start").agg(F.sort_array(F.collect_list(piece)).alias("_pieces"))
-    cut = (placed.where("size > 0").join(taken, ["number", "start"]).select("doc_id", "source", "_pieces", "size"))
+    cut = (placed.where("size > 0").join(taken.hint("merge"), ["number", "start"]).select("doc_id", "source", "_pieces", "size"))
     fields = docs.columns
     sized = docs.withColumn("_size", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"))
     # Repeated rows (same id, source, size) pair up one to one by rank.
@@ -153,7 +155,7 @@ def mixed_documents(docs: DataFrame, block_words: int = 256, **options) -> DataF
     left, right = rank(sized, "_size").alias("d"), rank(cut, "size").alias("c")
     same = (F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source"))
             & (F.col("d._size") == F.col("c.size")) & (F.col("d._rank") == F.col("c._rank")))
-    joined = left.join(right, same).select(*[F.col(f"d.`{c}`") for c in fields], F.col("c._pieces"))
+    joined = left.join(right.hint("merge"), same).select(*[F.col(f"d.`{c}`") for c in fields], F.col("c._pieces"))
     word = re.compile(WORD)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
