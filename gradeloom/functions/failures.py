@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-from gradeloom.functions.text import as_col, rstrip, strip
+from gradeloom.functions.text import as_col, rstrip, strip, tokens
 from gradeloom.lookups import (
     ANSWER_CUE, CLEAN_ENDINGS, GOLD_MARK, LONG_COMPLETION_TOKENS, LONG_TEXT_CHARS, MAX_TOKENS_HINT, NUMBER, WORD_CHAR,
 )
@@ -23,7 +23,10 @@ def gold_present(generation: Column, gold: Column, dataset: Column) -> Column:
     has_number = F.exists(
         F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)),
         lambda n: F.replace(n, F.lit(","), F.lit("")) == number)
-    found = F.when(dataset == "strategyqa", F.rlike(text, word)).otherwise(has_number)
+    # A gold of one word is looked up among the words; only others need a pattern of their own.
+    single = target.rlike(f"^[{WORD_CHAR}]+$")
+    has_word = F.when(single, F.array_contains(tokens(generation), target)).otherwise(F.rlike(text, word))
+    found = F.when(dataset == "strategyqa", has_word).otherwise(has_number)
     return F.coalesce((target != "") & found, F.lit(False))
 
 
