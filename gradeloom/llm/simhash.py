@@ -152,7 +152,7 @@ def block_table_search(queries: DataFrame, index: DataFrame) -> DataFrame:
     first = F.element_at(F.array(*[F.lit((1 << j) - 1) for _, j in TABLES]), left["t"] + 1)
     alone = F.element_at(F.array(*[F.lit(1 << i) for i, _ in TABLES]), left["t"] + 1)
     meets = (left["t"] == right["t"]) & (left["k"] == right["k"]) & (same.bitwiseAND(first) == alone) & (_distance("a", "b", "c", "d") <= RADIUS)
-    return left.join(right, meets).select("a", "b", "c", "d")
+    return left.join(right.hint("merge"), meets).select("a", "b", "c", "d")
 
 
 def document_fingerprints(docs: DataFrame, step: int = 50) -> DataFrame:
@@ -167,11 +167,12 @@ def document_fingerprints(docs: DataFrame, step: int = 50) -> DataFrame:
     counts = made.groupBy("a", "b").agg(F.count("*").alias("n"))
     queries = made.where(F.col("doc_id") % step == 0).select("a", "b").distinct()
     near = (block_table_search(queries, counts)
-            .join(counts.select(F.col("a").alias("c"), F.col("b").alias("d"), "n"), ["c", "d"])
+            .join(counts.select(F.col("a").alias("c"), F.col("b").alias("d"), "n").hint("merge"), ["c", "d"])
             .groupBy("a", "b").agg(F.sum("n").alias("n_near")))
     word = lambda a, b: F.lower(F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0")))
     like = lambda c, d: 1 - _distance("a", "b", c, d) / 128
     digest = made.select("doc_id", "n_chars", "edited_sha256", word("a", "b").alias("fingerprint"), word("ea", "eb").alias("edited_fingerprint"),
-                         like("ea", "eb").alias("near_edited"), like("na", "nb").alias("near_next"),
-                         *[F.when(F.col("doc_id") % step == 0, F.col(x)).alias(f"_{x}") for x in ("a", "b")])
-    return (digest.join(near.withColumnsRenamed({"a": "_a", "b": "_b"}), ["_a", "_b"], "left").drop("_a", "_b"))
+                         like("ea", "eb").alias("near_edited"), like("na", "nb").alias("near_next"), "a", "b")
+    asked = F.coalesce(F.col("doc_id") % step == 0, F.lit(False))
+    found = digest.where(asked).join(near.hint("merge"), ["a", "b"], "left").drop("a", "b")
+    return found.unionByName(digest.where(~asked).drop("a", "b").withColumn("n_near", F.lit(None).cast("long")))
