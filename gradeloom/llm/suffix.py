@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .filters import id_bitmap, maybe_in
-from .shared import stored, text_slices, whole_text
+from .shared import release, stored, text_slices, whole_text
 from .words import mix, range_hash
 
 LENGTH = 400
@@ -258,8 +258,11 @@ def repeated_ranges(rows: DataFrame, length: int = LENGTH, shallow: int = SHALLO
     grams = stored(grams, "repeated-grams")
     near = maybe_in(places, "gram", id_bitmap(grams, "gram")).join(grams.hint("merge"), "gram")
     near = stored(near, "repeated-segments")
-    kinds = near.groupBy("gram", "bytes").agg(F.count("*").alias("n"), F.min("id").alias("lead"))
+    release(places, grams)
+    # Stored, so that the join below is a plain one, whose skewed keys Spark can split.
+    kinds = stored(near.groupBy("gram", "bytes").agg(F.count("*").alias("n"), F.min("id").alias("lead")), "repeated-kinds")
     known = stored(near.join(kinds.hint("merge"), ["gram", "bytes"]), "known-segments")
+    release(near, kinds)
     whole = known.where("n > 1").select("doc", "t", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("windows") - 1 + length).cast("long").alias("stop"))
     # What is left to sort: single segments among others with their gram, and one of each repeated kind there.
     open_ = known.where("kinds > 1 and (n = 1 or id = lead)")
