@@ -14,12 +14,18 @@ MIN_CHARS = 40  # shorter items are no evidence of a leak
 CHUNK_CHARS = 16 << 20  # of benchmark text that one automaton holds
 
 _NAMES = ["doc_id", "item_id", "distance", "start", "end"]
-_LOWER = {i: i + 32 for i in range(65, 91)} | {i: 32 for i in (9, 10, 11, 12, 13)}
+_BLANKS = "\t\n\v\f\r"
 
 
 def normalised(text: str) -> str:
-    """A-Z in lower case and ASCII blanks as spaces; positions stay."""
-    return text.translate(_LOWER)
+    """Every letter in lower case and ASCII blanks as spaces; positions stay.
+
+    U+0130, the one code point with a longer lower case, becomes i; a final sigma is a sigma, as the case of its capital depends on its place.
+    """
+    text = text.replace("\u0130", "i").lower().replace("ς", "σ")
+    for blank in _BLANKS:
+        text = text.replace(blank, " ")
+    return text
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
@@ -120,7 +126,7 @@ def _chunks(benchmark: DataFrame, min_chars: int, chunk_chars: int) -> Iterator[
 def leaks(docs: DataFrame, benchmark: DataFrame, error_every: int = ERROR_EVERY, min_chars: int = MIN_CHARS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, start, end): the best occurrence of every benchmark item in every document that has it.
 
-    An item of n characters occurs where a stretch of the whole text, A-Z in lower case and blanks alike, is within floor(n / ``error_every``)
+    An item of n characters occurs where a stretch of the whole text, letters in lower case and blanks alike, is within floor(n / ``error_every``)
     edits of it. start and end are code points. Every piece hit opens a window that holds any match with that piece in
     place; overlapping windows are verified as one. Of equal distances the leftmost end counts. Null and empty texts
     have no leak; repeated documents have theirs each. A benchmark beyond ``chunk_chars`` is matched chunk by chunk.

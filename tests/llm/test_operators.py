@@ -143,6 +143,26 @@ def test_leaks(spark, chunk_chars):
     assert decontaminate.leaks(frame.limit(0), benchmark).count() == 0 == decontaminate.leaks(frame, benchmark.limit(0)).count()
 
 
+def test_normalised_keeps_positions_and_folds_every_letter():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    text = "".join(every)
+    found = decontaminate.normalised(text)
+    assert len(found) == len(text)
+    for c, got in zip(every, found):
+        want = {"\u0130": "i", "ς": "σ"}.get(c, " " if c in "\t\n\v\f\r" else c.lower())
+        assert got == want, hex(ord(c))
+    assert decontaminate.normalised("ΟΔΟΣ") == decontaminate.normalised("οδος") == "οδοσ"
+
+
+def test_leaks_in_capitals_with_accents(spark):
+    item = "l'été dernier, près de l'école où élève et maître ont répété à l'âge décidé, l'œuvre a été jouée"
+    benchmark = spark.createDataFrame([(1, item), (2, item.upper())], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"avant {item.upper()} après"), (2, f"AVANT {item} APRÈS"), (3, "rien de tout cela")], "doc_id long, text string")
+    found = decontaminate.leaks(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id, r.distance, r.start, r.end) for r in found} == {(d, i, 0, 6, 6 + len(item)) for d in (1, 2) for i in (1, 2)}
+    assert [r.doc_id for r in decontaminate.drop_leaks(docs, benchmark).collect()] == [3]
+
+
 @pytest.mark.parametrize("shallow", [0, 1, 3, 20])
 def test_deep_shallow_order(shallow):
     rng = random.Random(shallow)
