@@ -86,17 +86,18 @@ class Matcher:
     def find(self, text: str) -> Iterator[tuple[int, int, int, int]]:
         """(item_id, distance, start, end) of the best occurrence of each item within its budget; leftmost end, then nearest start."""
         text = normalised(text)
-        windows: dict[int, list[list[int]]] = defaultdict(list)
+        windows: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for last, (size, places) in self.automaton.iter(text) if len(self.automaton) else ():
             for number, offset in places:
                 _, item, errors, _, _ = self.items[number]
                 begin = last + 1 - size - offset
                 low, high = max(0, begin - errors), min(len(text), begin + len(item) + errors)
                 held = windows[number]
-                if held and low <= held[-1][1]:
-                    held[-1][1] = max(held[-1][1], high)
-                else:
-                    held.append([low, high])
+                # Hits come by their end, so one of a later piece may begin before windows that are there already.
+                while held and low <= held[-1][1]:
+                    before = held.pop()
+                    low, high = min(low, before[0]), max(high, before[1])
+                held.append((low, high))
         for number, spans in windows.items():
             item_id, item, errors, forward, backward = self.items[number]
             best = None

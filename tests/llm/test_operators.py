@@ -163,6 +163,34 @@ def test_leaks_in_capitals_with_accents(spark):
     assert [r.doc_id for r in decontaminate.drop_leaks(docs, benchmark).collect()] == [3]
 
 
+def test_leaks_with_a_repeated_phrase_and_edited_first_pieces():
+    item = "what is the total cost of seven red apples and four green pears, what is the total cost of nine plums and two limes?"
+    changed = list(item)
+    for offset, piece in decontaminate.pieces(item, len(item) // 12)[:6]:
+        changed[offset + len(piece) // 2] = "#"
+    matcher = decontaminate.Matcher([(1, item)], 12)
+    for before in ("", "so: ", f"{item[:30]} or {item[:30]} ", "x" * 300):
+        text = f"{before}{''.join(changed)} and more"
+        assert list(matcher.find(text)) == [(1, 6, len(before), len(before) + len(item))]
+
+
+def test_leaks_of_repetitive_items_against_brute_force():
+    rng = random.Random(11)
+    found = 0
+    for _ in range(400):
+        words = [rng.choice(["total ", "cost of ", "seven ", "what is the ", "red pears, "]) for _ in range(rng.randint(6, 14))]
+        item = "".join(words)
+        changed = list(item)
+        for _ in range(rng.randint(0, len(item) // 12 + 1)):
+            changed[rng.randrange(len(changed) if rng.random() < 0.3 else len(changed) * 2 // 3)] = "#"
+        text = "".join(rng.sample(words, 4)) + "".join(changed) + "".join(rng.sample(words, 4))
+        distance, end = ref.edit_distance_inside(item, text)
+        got = [(d, e) for _, d, _, e in decontaminate.Matcher([(1, item)], 12).find(text)]
+        assert got == ([(distance, end)] if distance <= len(item) // 12 else [])
+        found += len(got)
+    assert found > 200
+
+
 @pytest.mark.parametrize("shallow", [0, 1, 3, 20])
 def test_deep_shallow_order(shallow):
     rng = random.Random(shallow)
