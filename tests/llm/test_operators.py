@@ -319,6 +319,36 @@ def test_block_tables_find_all_within_the_radius(spark):
     assert found == sum((p ^ q).bit_count() <= simhash.RADIUS for p in prints for q in prints)
 
 
+def test_block_tables_find_bits_spread_over_all_blocks(spark):
+    rng = random.Random(7)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    frame = lambda prints: spark.createDataFrame([(signed(p >> 64), signed(p & (1 << 64) - 1)) for p in prints], "a long, b long")
+    base, others = rng.getrandbits(128), set()
+    for distance in (0, 1, 16, 17, 17, 17, 18, 19, 24):
+        for _ in range(10):
+            ones = [i * 128 // max(distance, 1) for i in range(distance)] if rng.random() < 0.5 else rng.sample(range(128), distance)
+            others.add(base ^ sum(1 << i for i in ones))
+    found = simhash.block_table_search(frame([base]), frame(others)).collect()
+    want = Counter((signed(o >> 64), signed(o & (1 << 64) - 1)) for o in others if (o ^ base).bit_count() <= 17)
+    assert Counter((r.c, r.d) for r in found) == want and len(want) > 20
+
+
+def test_near_copies_are_counted(spark):
+    rng = random.Random(8)
+    texts = {}
+    for i in range(40):
+        text = [f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(150, 400))]
+        copy = list(text)
+        for _ in range(2):
+            copy[rng.randrange(len(copy))] = "changed"
+        texts[2 * i], texts[2 * i + 1] = " ".join(text), " ".join(copy)
+        a, b = ref.shingles(texts[2 * i], 5), ref.shingles(texts[2 * i + 1], 5)
+        assert len(a & b) >= 0.8 * len(a | b)
+    found = simhash.document_fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), step=1).collect()
+    near = [r.n_near for r in found]
+    assert len(near) == 80 and max(near) == 2 and near.count(2) >= 0.95 * 80
+
+
 @pytest.mark.parametrize("size,percent", [(4, 85), (5, 80), (1, 50)])
 def test_jaccard_components(spark, odd, plain, size, percent, monkeypatch):
     monkeypatch.setattr(sigtree, "CHUNK", 4)  # blocks are cut
