@@ -22,4 +22,92 @@ select doc_id, coalesce(n, 0) n_shingles, least(doc_id, coalesce(low, doc_id)) c
 from documents left join sizes using (doc_id) left join lowest using (doc_id)"""
 
 
-ORACLES = {"op8_signature_trees": jaccard_components(4, 85)}
+#: Scores of all anchors with all rows; windows of each of the first five positives.
+HARD_NEGATIVES = """
+with points as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding, lambda x: floor(256 * cast(x as double))) v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+  select a.vec_id anchor_id, b.vec_id other, a.l = b.l same, cast(list_inner_product(a.v, b.v) as bigint) score
+  from points a join points b on a.vec_id % 50 = 0 and a.vec_id != b.vec_id),
+positives as (
+  select anchor_id, other positive_id, score positive_score from scores where same
+  qualify row_number() over (partition by anchor_id order by score desc, other) <= 5),
+mined as (
+  select anchor_id, positive_id, positive_score, other negative_id, score negative_score,
+    cast(row_number() over (partition by anchor_id, positive_id order by score desc, other) as integer) "rank"
+  from positives join scores using (anchor_id) where not same and 100 * score between 50 * positive_score and 95 * positive_score)
+select * from mined where "rank" <= 3"""
+
+
+def conversation_repair() -> str:
+    """All cheapest paths to each state of a conversation, row by row, as (cost, edits, repaired text); the least one is kept."""
+    def offers(*parts: tuple[str, int, str, str]) -> str:
+        """parts: state, cost, edits, condition; I stands for an inserted row, K and R for the row kept or with another role."""
+        made = []
+        for state, cost, edits, condition in parts:
+            letter, other = ("u", "a") if "u" in condition else ("a", "u")
+            roles = {"u": "user", "a": "assistant"}
+            text = f"d.{state}.t"
+            if "I" in edits:
+                text += f" || chr(10) || '{roles[other]}:'"
+            if edits.endswith("K"):
+                text += ' || chr(10) || r.role || \':\' || r."text"'
+            if edits.endswith("R"):
+                text += f" || chr(10) || '{roles[letter]}:' || r.\"text\""
+            free = "true" if edits == "D" else f"not r.forced and ({condition.replace('u', chr(39) + 'u' + chr(39)).replace('a', chr(39) + 'a' + chr(39)).replace('s', chr(39) + 's' + chr(39)) if edits.endswith('K') else 'true'})"
+            free = free.replace("=", "left(r.role, 1) =") if edits.endswith("K") else free
+            more = str(cost) if edits == "D" else f"{cost} + case when r.cut then 5 else 0 end"
+            made.append(f"case when d.{state}.c is not null and {free} then {{'c': d.{state}.c + {more}, 'w': d.{state}.w || '{edits}', 't': {text}}} end")
+        return f"list_min(list_filter([{', '.join(made)}], lambda x: x is not null))"
+
+    enter_u = [(x, c, e, "=u") for x in "esa" for c, e in ((0, "K"), (1, "R"))] + [("u", 5, "IK", "=u"), ("u", 6, "IR", "=u")]
+    enter_a = [("u", 0, "K", "=a"), ("u", 1, "R", "=a")] + [(x, c, e, "=a") for x in "esa" for c, e in ((5, "IK"), (6, "IR"))]
+    byte = "list_reduce(range(1, 9), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, xor(c, b))"
+    return rf"""
+with recursive keyed as (
+  select *, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') k,
+    coalesce(role, ' ') r0, coalesce("text", ' ') t0 from conversations),
+summed as (
+  select *, xor(list_reduce(list_transform(range(1, len(k) + 1), lambda i: cast(ord(substr(k, i, 1)) as bigint)),
+    lambda c, b: {byte.replace("range(1, 9), lambda x, i:", "list_concat([xor(c, b)], range(1, 9)), lambda x, i:").replace(", xor(c, b))", ")")},
+    cast(4294967295 as bigint)), 4294967295) % 20 m from keyed),
+damaged as (
+  select conv_id, turn, case when m = 4 then 'user' else r0 end as role,
+    case when m = 1 then '' when m = 2 then translate(t0, '.!?', '') else t0 end as "text", unnest(range(case when m = 3 then 2 else 1 end)) copy
+  from summed where m != 0),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, md5("text"), copy) rn,
+    rtrim("text", ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) solid,
+    row_number() over (partition by conv_id, role, "text" order by turn nulls first, copy) seen from damaged),
+faulty as (
+  select *, solid = '' blank, solid != '' and seen > 1 dup, solid != '' and seen = 1 and right(solid, 1) not in ('.', '!', '?') cut,
+    solid = '' or seen > 1 forced, left(lag(role) over (partition by conv_id order by rn), 1) || left(role, 1) pair from placed),
+counts as (
+  select conv_id, max(rn) n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (blank) blank,
+    count(*) filter (dup) duplicate, count(*) filter (cut) truncated, count(*) filter (pair not in ('su', 'ua', 'au')) illegal
+  from faulty group by 1),
+steps as (
+  select conv_id, cast(0 as bigint) rn, {{'c': cast(0 as bigint), 'w': '', 't': ''}} e, {{'c': cast(null as bigint), 'w': '', 't': ''}} s,
+    {{'c': cast(null as bigint), 'w': '', 't': ''}} u, {{'c': cast(null as bigint), 'w': '', 't': ''}} a from counts
+  union all
+  select d.conv_id, r.rn,
+    {offers(("e", 2, "D", ""))},
+    {offers(("s", 2, "D", ""), ("e", 0, "K", "=s"))},
+    {offers(("u", 2, "D", ""), *enter_u)},
+    {offers(("a", 2, "D", ""), *enter_a)}
+  from steps d join faulty r on r.conv_id is not distinct from d.conv_id and r.rn = d.rn + 1),
+ends as (
+  select d.conv_id, list_min(list_filter([d.e, d.a,
+    {{'c': d.u.c + 5, 'w': d.u.w || 'I', 't': d.u.t || chr(10) || 'assistant:'}},
+    {{'c': d.s.c + 10, 'w': d.s.w || 'II', 't': d.s.t || chr(10) || 'user:' || chr(10) || 'assistant:'}}], lambda x: x.c is not null)) best
+  from steps d join counts k on k.conv_id is not distinct from d.conv_id and k.n = d.rn)
+select c.conv_id, coalesce(k.gaps, 0) gaps, coalesce(k.blank, 0) blank, coalesce(k.duplicate, 0) duplicate, coalesce(k.truncated, 0) truncated,
+  coalesce(k.illegal, 0) illegal, coalesce(best.c, 0) "cost", coalesce(best.w, '') audit, sha256(coalesce(substr(best.t, 2), '')) repaired_sha256
+from (select distinct conv_id from conversations) c
+left join counts k on k.conv_id is not distinct from c.conv_id left join ends x on x.conv_id is not distinct from c.conv_id"""
+
+
+ORACLES = {"op8_signature_trees": jaccard_components(4, 85), "op12_conversation_repair": conversation_repair(),
+           "op13_hard_negatives": HARD_NEGATIVES}
