@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, negatives, pii, quality, records, repair, sharding, sigtree, simhash, suffix, tokens
+from . import decontaminate, mixing, negatives, oddsketch, pii, quality, records, repair, sharding, sigtree, simhash, suffix, tokens
 from .shared import documents
 from .sql import ORACLES  # noqa: F401
 
@@ -48,6 +48,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(documents(spark, sf_dir))
 
 
+def op11_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document with its group of near copies."""
+    return oddsketch.near_duplicates(documents(spark, sf_dir))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per conversation: what is wrong with it once it is damaged, the cheapest repair and a digest of the result."""
     return repair.repair(repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
@@ -60,5 +65,5 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_token_records, op3_decontamination, op4_suffix_dedup, op5_mixing, op6_jump_sharding, op7_simhash,
-    op8_signature_trees, op9_quality, op10_pii, op12_conversation_repair,
-    op13_hard_negatives)}
+    op8_signature_trees, op9_quality, op10_pii, op11_odd_sketches,
+    op12_conversation_repair, op13_hard_negatives)}

@@ -109,5 +109,6 @@ from (select distinct conv_id from conversations) c
 left join counts k on k.conv_id is not distinct from c.conv_id left join ends x on x.conv_id is not distinct from c.conv_id"""
 
 
-ORACLES = {"op8_signature_trees": jaccard_components(4, 85), "op12_conversation_repair": conversation_repair(),
+ORACLES = {"op8_signature_trees": jaccard_components(4, 85),
+           "op11_odd_sketches": f"select *, doc_id = component_id kept from ({jaccard_components(5, 85)})", "op12_conversation_repair": conversation_repair(),
            "op13_hard_negatives": HARD_NEGATIVES}
