@@ -211,11 +211,10 @@ class _Segment:
             elif turn != self.turns[1]:
                 self.turns = [self.turns[0], turn, self.turns[2] + 1]
 
-    def full(self) -> bool:
-        return len(self.rows) >= SEGMENT_ROWS or self.size >= SEGMENT_BYTES
+    def full(self, rows: int) -> bool:
+        return len(self.rows) >= rows or self.size >= SEGMENT_BYTES
 
 
-_SEGMENT = "conv_id long, part int, number int, body binary"
 _RESULT = ("conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, "
            "repaired_sha256 string")
 
@@ -227,33 +226,38 @@ def _packed(segment: _Segment, begins: bool) -> bytes:
     return json.dumps([segment.texts, segment.count, segment.turns, ends, table]).encode()
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of the rows of one task, which come in order; its first conversation may have begun in another task."""
-    part = TaskContext.get().partitionId()
-    key, number, first, segment, out = None, 0, True, None, []
+def segments(rows: DataFrame, limit: int = SEGMENT_ROWS) -> DataFrame:
+    """The segments, of about ``limit`` rows at most, of the conversations that ``ordered_rows`` gives, dealt by conversation and in order."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        key, number, first, segment, out = None, 0, True, None, []  # the first conversation of a task may have begun in another one
 
-    def close() -> None:
-        if segment is not None:
-            out.append((key, part, number, _packed(segment, number == 0 and not first)))
+        def close() -> None:
+            if segment is not None:
+                out.append((key, part, number, _packed(segment, number == 0 and not first)))
 
-    def batch_of(records: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*records), kinds)], ["conv_id", "part", "number", "body"])
+        def batch_of(records: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*records), kinds)], ["conv_id", "part", "number", "body"])
 
-    for batch in batches:
-        for conv, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if segment is None or conv != key or segment.full():
-                close()
-                first = first and (segment is None or conv == key)
-                number = number + 1 if segment is not None and conv == key else 0
-                key, segment = conv, _Segment()
-            segment.add(*row)
-            if sum(len(r[3]) for r in out) > SEGMENT_BYTES:
-                yield batch_of(out)
-                out = []
-    close()
-    if out:
-        yield batch_of(out)
+        for batch in batches:
+            for conv, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if segment is None or conv != key or segment.full(limit):
+                    close()
+                    first = first and (segment is None or conv == key)
+                    number = number + 1 if segment is not None and conv == key else 0
+                    key, segment = conv, _Segment()
+                segment.add(*row)
+                if sum(len(r[3]) for r in out) > SEGMENT_BYTES:
+                    yield batch_of(out)
+                    out = []
+        close()
+        if out:
+            yield batch_of(out)
+
+    bounded_batches(rows.sparkSession)
+    parts = ordered_rows(rows).mapInArrow(cut, "conv_id long, part int, number int, body binary")
+    return parts.repartition("conv_id").sortWithinPartitions("conv_id", "part", "number").select("conv_id", "body")
 
 
 class _Conversation:
@@ -325,23 +329,19 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of([(key, *now.result())])
 
 
-def repair(rows: DataFrame) -> DataFrame:
+def repair(rows: DataFrame, limit: int = SEGMENT_ROWS) -> DataFrame:
     """(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256) per conversation.
 
     rows: conv_id, turn, role, text (not null) and times, how often the row stands there; a conversation of which all rows have times 0 is
     empty, with zeros. Rows go by turn, nulls first, those of one turn by role and then in an order that their text fixes;
-    repeated rows stand together. A null conv_id is a conversation as well. An empty table gives no rows.
+    repeated rows stand together. A null conv_id is a conversation as well. An empty table gives no rows. Segments of about ``limit``
+    rows don't change results. The digest needs the rows of a conversation one after the other; they stream through a task.
     """
-    bounded_batches(rows.sparkSession)
-    parts = ordered_rows(rows).mapInArrow(_segments, _SEGMENT)
-    together = parts.repartition("conv_id").sortWithinPartitions("conv_id", "part", "number")
-    return together.select("conv_id", "body").mapInArrow(_joined, _RESULT)
+    return segments(rows, limit).mapInArrow(_joined, _RESULT)
 
 
-def repaired_rows(rows: DataFrame) -> DataFrame:
+def repaired_rows(rows: DataFrame, limit: int = SEGMENT_ROWS) -> DataFrame:
     """(conv_id, position, role, text): the repaired conversations themselves. See ``repair`` for rows."""
-    bounded_batches(rows.sparkSession)
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, now = None, None
         for batch in batches:
@@ -355,8 +355,7 @@ def repaired_rows(rows: DataFrame) -> DataFrame:
             yield _text_batch(out)
         yield _text_batch(now.rest() if now else [])
 
-    together = ordered_rows(rows).mapInArrow(_segments, _SEGMENT).repartition("conv_id").sortWithinPartitions("conv_id", "part", "number")
-    return together.select("conv_id", "body").mapInArrow(write, "conv_id long, position long, role string, text string")
+    return segments(rows, limit).mapInArrow(write, "conv_id long, position long, role string, text string")
 
 
 def _text_batch(rows: list[tuple]) -> pa.RecordBatch:
