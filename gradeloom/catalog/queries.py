@@ -12,6 +12,7 @@ from gradeloom.plans import evaluation as EV, postscore as PS
 from gradeloom.schemas import KEY, LOG_COLUMNS, LOG_V1, LOG_V2, LOG_V3, SCORE_METRICS
 from gradeloom.sources import reports, runlog
 from gradeloom.sources.datasets import read_samples as read_dataset_samples
+from gradeloom.sources.files import Folder
 from gradeloom.sources.scratch import scratch_path, written
 from gradeloom.streaming import scoring as ST
 
@@ -279,6 +280,21 @@ def run_log_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select(*LOG_COLUMNS)
 
 
+def damaged_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three whole logs, one of them compressed, are read past one whose compressed files end half-way and one that is no text."""
+    folder = scratch_path(spark, "logs")
+    rows = written(SC.exact_match_rows(I.runs(spark, sf_dir)).select(*LOG_V2), "rows")
+    for i in range(4):
+        runlog.export_csv(rows.where(F.col("sample_idx") % 4 == i), f"{folder}/run_{i}", compression="gzip" if i > 1 else "none")
+    files = Folder(spark, folder)
+    for name in files.names("run_3"):
+        if name.endswith(".gz"):
+            files.copy_head(f"run_3/{name}", f"run_4/{name}", 0.5)
+    rows.where("sample_idx % 4 = 0").write.parquet(f"{folder}/run_5")
+    log = runlog.read_run_logs(spark, [f"{folder}/run_{i}" for i in (0, 1, 2, 4, 5)], required=["generation", "gold_answer"])
+    return log.select(*KEY, "gold_answer", "predicted_answer", "is_correct", "parse_failed", "latency_s")
+
+
 def write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append to a log in two parts, rescore it into a new version, read that back."""
     folder = scratch_path(spark, "table")
@@ -359,6 +375,6 @@ QUERIES = {f.__name__: f for f in [
     dataset_em, substring_match, numeric_close, token_f1, rouge_l, prompt_build, template_table, ablation_grid,
     condition_parse, condition_table, attach_generations, majority_vote, path_concat, resume_pending, pending_prompts, evaluate_paths,
     score_rows, condition_summary, em_pivot, model_summary, failure_rows, failure_counts, failure_counts_one_model, backfill, metric_rates,
-    embedding_f1, embedding_rates, run_log_union, write_back, embedding_write_back, backfill_logs, analyse_failures, summary_export, failure_export, streaming_scores,
+    embedding_f1, embedding_rates, run_log_union, damaged_logs, write_back, embedding_write_back, backfill_logs, analyse_failures, summary_export, failure_export, streaming_scores,
     streaming_summary,
 ]}

@@ -512,6 +512,8 @@ ORACLES = {
       from (select source_file, count(*) n, sum(round(bertscore_f1 * 10000)::bigint)::double / (count(*) * 10000) m
             from marked where newly_scored group by 1)"""),
     "run_log_union": _with(_SCORED, _LAYOUTS),
+    "damaged_logs": _with(_EXACT, f"""select {_KEY}, gold_answer, predicted_answer, is_correct, parse_failed, latency_s
+      from exact where sample_idx % 4 <> 3"""),
     "write_back": _with(_REWRITTEN, ""),
     "summary_export": _with(_SCORED, _EXPORTED),
     "failure_export": _with(_FAILED, _COUNTS),

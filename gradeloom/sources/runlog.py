@@ -4,13 +4,14 @@ import csv
 import warnings
 from collections.abc import Iterable
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gradeloom.functions.text import flatten_newlines
 from gradeloom.schemas import LOG_TYPES, RUN_LOG
+from gradeloom.sources.files import plain
+from gradeloom.sources.quarantine import past_failures, readable
 
 # Quotes are doubled, fields may span lines, blanks belong to the text.
 _CSV = {
@@ -18,35 +19,36 @@ _CSV = {
     "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
 }
 
-def _readable(spark: SparkSession, paths: Iterable[str]) -> list[str]:
+
+def _listed(spark: SparkSession, paths: Iterable[str]) -> list[str]:
+    """The files that paths, folders and globs name."""
     found = []
     for path in paths:
         try:
-            spark.read.text(path)
-            found.append(path)
+            found += map(plain, spark.read.text(path).inputFiles())
         except AnalysisException as error:
             warnings.warn(f"Skipped {path}: {error.getCondition()}")
-    return found
+    return list(dict.fromkeys(found))
 
 
-def _layouts(spark: SparkSession, paths: list[str]) -> tuple[dict[tuple[str, ...], list[str]], int]:
-    """Column names -> files whose first header has them; and the number of all files.
+def _layouts(spark: SparkSession, files: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Column names -> files whose first header has them. Files that are not UTF-8 text have none.
 
     Headers come from a scan of lines, which can be split. The driver gets one
     line per file, as it lists the files anyway.
     """
-    lines = spark.read.text(paths)
-    named = [F.contains("value", F.lit(name)) for name in ("dataset", "strategy", "sample_idx")]
-    heads = lines.where(named[0] & named[1] & named[2]).select(
-        "value", F.col("_metadata.file_path").alias("file"),
+    value = F.col("value")
+    named = reduce(Column.__and__, [F.contains(value, F.lit(name)) for name in ("dataset", "strategy", "sample_idx")])
+    lines = spark.read.text(files).where(named | ~F.is_valid_utf8(value)).select(
+        F.regexp_replace(F.when(F.is_valid_utf8(value), value), "[\ufeff\r]", "").alias("value"), F.col("_metadata.file_path").alias("file"),
         F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at")).alias("place"))
+    heads = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"), F.bool_and(F.col("value").isNotNull()).alias("text"))
     found: dict[tuple[str, ...], list[str]] = {}
-    heads = heads.withColumn("value", F.regexp_replace("value", "[\ufeff\r]", ""))
-    for row in heads.groupBy("file").agg(F.min_by("value", "place").alias("header")).orderBy("file").collect():
+    for row in heads.where("text").orderBy("file").collect():
         names = tuple(next(csv.reader([row["header"]])))
         if {"dataset", "strategy", "sample_idx"} <= set(names):
-            found.setdefault(names, []).append(unquote(row["file"]))
-    return found, len(lines.inputFiles())
+            found.setdefault(names, []).append(plain(row["file"]))
+    return found
 
 
 def _read_layout(spark: SparkSession, files: list[str], layout: Iterable[str]) -> DataFrame:
@@ -79,18 +81,19 @@ def read_run_logs(spark: SparkSession, paths: Iterable[str], layout: list[str] |
     up first, and files with the same columns are then read together, each once. Give
     the ``layout`` of logs that are all alike to save that scan. Columns a file lacks
     are NULL. An empty ``generation`` or ``predicted_answer`` is the empty string; empty
-    metrics stay NULL. Files without a header or without the ``required`` columns are
-    skipped with a warning.
+    metrics stay NULL. Skipped with a warning that names them: paths that match nothing, compressed
+    files that do not unpack to their end, files that Spark fails to read, that are not UTF-8
+    text, or that have no header or not the ``required`` columns. A file is read whole or not at all.
     """
-    found = _readable(spark, paths)
-    if layout is not None and found:
-        groups = {tuple(layout): found}
+    files = readable(spark, _listed(spark, paths))
+    if layout is not None:
+        groups = {tuple(layout): files} if files else {}
     else:
-        groups, listed = _layouts(spark, found) if found else ({}, 0)
-        groups = {names: files for names, files in groups.items() if set(required) <= set(names)}
-        skipped = listed - sum(map(len, groups.values()))
+        files, groups = past_failures(files, lambda left: _layouts(spark, left))
+        groups = {names: group for names, group in (groups or {}).items() if set(required) <= set(names)}
+        skipped = sorted(set(files) - {f for group in groups.values() for f in group})
         if skipped:
-            warnings.warn(f"Skipped {skipped} of {listed} files: no run-log header with the required columns.")
+            warnings.warn(f"Skipped {len(skipped)} of {len(files)} files without a run-log header with the required columns: {', '.join(skipped)}")
     if not groups:
         names = T.StructType([T.StructField(n, t) for n, t in LOG_TYPES.items()])
         return spark.createDataFrame([], names.add("source_file", "string"))
@@ -99,10 +102,10 @@ def read_run_logs(spark: SparkSession, paths: Iterable[str], layout: list[str] |
     return log.withColumns({c: F.coalesce(c, F.lit("")) for c in ("generation", "predicted_answer")})
 
 
-def export_csv(log: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def export_csv(log: DataFrame, path: str, mode: str = "errorifexists", compression: str = "none") -> None:
     """Write a log as CSV with header; newlines of the generation become blanks."""
     flat = log.withColumn("generation", flatten_newlines(F.col("generation")))
-    flat.write.mode(mode).options(**_CSV, header=True, emptyValue="").csv(path)
+    flat.write.mode(mode).options(**_CSV, header=True, emptyValue="", compression=compression).csv(path)
 
 
 def append_log(scored: DataFrame, path: str) -> None:

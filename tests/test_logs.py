@@ -1,4 +1,6 @@
+import bz2
 import csv
+import gzip
 import json
 import os
 
@@ -10,7 +12,7 @@ from gradeloom.operators import failures as FA, scoring as SC, summary as SU
 from gradeloom.functions.failures import failure_category, gold_present, looks_truncated
 from gradeloom.plans import postscore
 from gradeloom.schemas import LOG_COLUMNS, LOG_V1, LOG_V2, LOG_V3
-from gradeloom.sources import reports, runlog
+from gradeloom.sources import quarantine, reports, runlog
 from helpers import values
 
 CELL = "model={},k=def,trig=default,persona=revised,struct=on,mt=1500,T=0.0,sc=1"
@@ -232,3 +234,36 @@ def test_log_keeps_embedding_scores(spark, tmp_path):
     runlog.write_back(log, f"{tmp_path}/log")
     row = runlog.read_log(spark, f"{tmp_path}/log").collect()[0]
     assert (row.bertscore_f1, row.source_file, row.generation) == (0.5, "run_1.csv", None)
+
+
+def test_damaged_files_are_named_and_left_out(spark, logs):
+    whole = gzip.compress(("\n".join(["dataset,strategy,sample_idx,gold_answer,generation"] + [f"gsm8k,s,{i},1,x{i}" for i in range(20000)])).encode())
+    for name, data in {
+            "run_7.csv.gz": whole, "run_8.csv.gz": whole[:len(whole) // 2], "run_9.csv.gz": b"no gzip", "run_10.csv.gz": whole[:-5] + b"\0\1\2\3\4",
+            "run_11.csv": b"dataset,strategy,sample_idx,gold_answer,generation\ngsm8k,s,1,2,\xff\xfe\n",
+            "run_12.csv": b"\x89PNG\r\n\x1a\n" + bytes(range(256)) * 20, "run_13.csv.bz2": bz2.compress(whole)[:-7], "run_14.csv.gz": whole + whole,
+            "run_15.csv.gz": b""}.items():
+        with open(f"{logs}/{name}", "wb") as f:
+            f.write(data)
+    with pytest.warns(UserWarning) as seen:
+        log = runlog.read_run_logs(spark, [f"{logs}/run_*"], required=["generation", "gold_answer"])
+    said = "\n".join(str(w.message) for w in seen)
+    for n in (8, 9, 10, 11, 12, 13, 15, 5, 6):
+        assert f"run_{n}.csv" in said, n
+    for n in (1, 2, 3, 4, 7, 14):
+        assert f"run_{n}.csv" not in said, n
+    rows = log.groupBy("source_file").count().collect()
+    assert {r["source_file"]: r["count"] for r in rows} == {
+        "run_1.csv": 2, "run_2.csv": 2, "run_3.csv": 2, "run_4.csv": 1, "run_7.csv.gz": 20000, "run_14.csv.gz": 40000}
+
+
+def test_files_that_only_spark_finds_unreadable(spark, logs, monkeypatch):
+    whole = gzip.compress(b"dataset,strategy,sample_idx,gold_answer,generation\n" + b"gsm8k,s,1,1,x\n" * 5000)
+    for n, data in ((7, whole), (8, whole[:-30]), (9, b"no gzip")):
+        with open(f"{logs}/run_{n}.csv.gz", "wb") as f:
+            f.write(data)
+    monkeypatch.setattr(quarantine, "PROBE_BYTES", -1)
+    with pytest.warns(UserWarning) as seen:
+        log = runlog.read_run_logs(spark, [f"{logs}/run_*.gz"], required=["generation", "gold_answer"])
+    assert len([w for w in seen if "FAILED_READ_FILE" in str(w.message)]) == 2
+    assert [r["count"] for r in log.groupBy("source_file").count().collect()] == [5000]
