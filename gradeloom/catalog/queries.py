@@ -305,6 +305,28 @@ def write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlog.read_log(spark, f"{folder}/v2").select(*RESULT, "question", "generation", *SCORE_METRICS)
 
 
+def append_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends that run twice or are killed before their commit leave each row once."""
+    folder = scratch_path(spark, "log")
+    scored = written(_scored(spark, sf_dir), "scored")
+    for job in (0, 1, 0, 2, 1):
+        rows = scored.where(F.col("sample_idx") % 3 == job)
+        # What an append leaves that was killed while it wrote its rows.
+        rows.where("sample_idx % 2 = 0").write.partitionBy("dataset", "strategy").mode("append").parquet(f"{folder}/data=killed")
+        runlog.append_log(rows, folder, job=f"part-{job}")
+    return runlog.read_log(spark, folder).select(*RESULT, *SCORE_METRICS, "latency_s")
+
+
+def rescore_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that is rescored in place: rows seen by a reader that had begun before, and by one that begins after."""
+    folder = scratch_path(spark, "log")
+    runlog.append_log(_half_scored(spark, sf_dir), folder, job="first")
+    before = runlog.read_log(spark, folder)
+    PS.rescore_log(spark, folder)
+    after = runlog.read_log(spark, folder)
+    return before.withColumn("version", F.lit(0)).unionByName(after.withColumn("version", F.lit(1))).select("version", *KEY, *SCORE_METRICS)
+
+
 def embedding_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the embedding scores back into a log, and read the log again."""
     folder = scratch_path(spark, "table")
@@ -375,6 +397,6 @@ QUERIES = {f.__name__: f for f in [
     dataset_em, substring_match, numeric_close, token_f1, rouge_l, prompt_build, template_table, ablation_grid,
     condition_parse, condition_table, attach_generations, majority_vote, path_concat, resume_pending, pending_prompts, evaluate_paths,
     score_rows, condition_summary, em_pivot, model_summary, failure_rows, failure_counts, failure_counts_one_model, backfill, metric_rates,
-    embedding_f1, embedding_rates, run_log_union, damaged_logs, write_back, embedding_write_back, backfill_logs, analyse_failures, summary_export, failure_export, streaming_scores,
+    embedding_f1, embedding_rates, run_log_union, damaged_logs, write_back, append_once, rescore_in_place, embedding_write_back, backfill_logs, analyse_failures, summary_export, failure_export, streaming_scores,
     streaming_summary,
 ]}

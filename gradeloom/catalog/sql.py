@@ -514,6 +514,10 @@ ORACLES = {
     "run_log_union": _with(_SCORED, _LAYOUTS),
     "damaged_logs": _with(_EXACT, f"""select {_KEY}, gold_answer, predicted_answer, is_correct, parse_failed, latency_s
       from exact where sample_idx % 4 <> 3"""),
+    "append_once": _with(_SCORED, f"select {_RESULT}, {_METRICS}, latency_s from scored"),
+    "rescore_in_place": _with(_BACKFILLED, f"""
+      select 0 "version", {_KEY}, {', '.join(f'case when sample_idx % 2 = 0 then {c} end {c}' for c in _METRICS.split(', '))} from filled
+      union all select 1, {_KEY}, {_METRICS} from filled"""),
     "write_back": _with(_REWRITTEN, ""),
     "summary_export": _with(_SCORED, _EXPORTED),
     "failure_export": _with(_FAILED, _COUNTS),

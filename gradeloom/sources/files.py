@@ -52,6 +52,10 @@ class Folder:
     def exists(self, name: str = "") -> bool:
         return self._fs.exists(self._at(name))
 
+    def modified(self, name: str) -> float:
+        """Seconds since the epoch at which a file or folder was last changed."""
+        return self._fs.getFileStatus(self._at(name)).getModificationTime() / 1000
+
     def delete(self, name: str = "") -> None:
         self._fs.delete(self._at(name), True)
 

@@ -2,7 +2,7 @@
 
 import csv
 import warnings
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from gradeloom.functions.text import flatten_newlines
 from gradeloom.schemas import LOG_TYPES, RUN_LOG
-from gradeloom.sources.files import plain
+from gradeloom.sources.files import Folder, plain
+from gradeloom.sources.logtable import LogTable
 from gradeloom.sources.quarantine import past_failures, readable
 
 # Quotes are doubled, fields may span lines, blanks belong to the text.
@@ -108,19 +109,31 @@ def export_csv(log: DataFrame, path: str, mode: str = "errorifexists", compressi
     flat.write.mode(mode).options(**_CSV, header=True, emptyValue="", compression=compression).csv(path)
 
 
-def append_log(scored: DataFrame, path: str) -> None:
-    """Append scored rows to a Parquet log."""
-    scored.write.mode("append").partitionBy("dataset", "strategy").parquet(path)
+def log_table(spark: SparkSession, path: str) -> LogTable:
+    more = [T.StructField("answer_raw", T.StringType()), T.StructField("bertscore_f1", T.DoubleType()),
+            T.StructField("source_file", T.StringType())]
+    return LogTable(spark, path, T.StructType([*RUN_LOG.fields, *more]))
+
+
+def append_log(scored: DataFrame, path: str, job: str | None = None) -> bool:
+    """Append scored rows to a log, all of them at once; a ``job`` id that is committed already adds nothing and gives False."""
+    table = log_table(scored.sparkSession, path)
+    if not table.exists() and any("=" in name for name in Folder(scored.sparkSession, path).names()):
+        raise ValueError(f"{path} is a plain Parquet folder without commits; rescore it into a new log instead.")
+    return table.append(scored, job)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """Read a Parquet log written by ``append_log``, ``write_back`` or the streaming sink; NULL where it lacks a column."""
-    more = [T.StructField("answer_raw", T.StringType()), T.StructField("bertscore_f1", T.DoubleType()),
-            T.StructField("source_file", T.StringType())]
-    return spark.read.schema(T.StructType([*RUN_LOG.fields, *more])).parquet(path)
+    """The committed rows of a log, or a plain Parquet folder written by ``write_back`` or the streaming sink; NULL where it lacks a column."""
+    table = log_table(spark, path)
+    return table.read() if table.exists() else spark.read.schema(table.schema).parquet(path)
+
+
+def rewrite_log(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame]) -> int:
+    """Replace the rows of a log in place; readers that have begun keep the old version. Gives the number of the new one."""
+    return log_table(spark, path).rewrite(change)
 
 
 def write_back(log: DataFrame, path: str) -> None:
-    """Write a rescored log as a new version: Spark must not overwrite what it reads."""
+    """Write a rescored log to a new path, as plain Parquet: Spark must not overwrite what it reads."""
     log.write.mode("errorifexists").partitionBy("dataset", "strategy").parquet(path)
-
