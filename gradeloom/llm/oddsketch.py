@@ -22,7 +22,7 @@ BANDS, ROWS = 40, 5  # a pair of similarity 0.85 shares none of the bands once i
 SAMPLES = BANDS * ROWS
 BITS = 512  # of a sketch
 MISS = 1e-12  # chance that the sketches of a pair at the threshold are taken for too different
-CHUNK = 2048  # members of a block that one task compares with one another
+SKETCH_CHUNK, SET_CHUNK = 8192, 4096  # members of a block that one task compares with one another
 CHUNK_BYTES = 16 << 20  # of the sets of a chunk, about
 
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -189,10 +189,10 @@ def _join(prepare: Callable) -> Callable:
     return join
 
 
-def links_in_blocks(members: DataFrame, rows: DataFrame, prepare: Callable) -> DataFrame:
+def links_in_blocks(members: DataFrame, rows: DataFrame, prepare: Callable, chunk: int) -> DataFrame:
     """Links (a, b) that join, in each block of members (block, id), what the comparison accepts of rows (id, data).
 
-    Blocks of many members, or of many bytes, are dealt into chunks. Each chunk is joined with the block's smallest member in it; chunks of
+    Blocks of more members than a chunk, or of many bytes, are dealt into chunks. Each chunk is joined with the block's smallest member in it; chunks of
     near copies are then one component for the most part. Only where a block is more than that, every two of its chunks that are
     not one component meet, in a task of their own. So a group of near copies takes time in proportion to its size, no pair of
     different components is left out, and no task holds more than two chunks.
@@ -206,7 +206,7 @@ def links_in_blocks(members: DataFrame, rows: DataFrame, prepare: Callable) -> D
 
     sized = members.join(rows.select("id", F.length("data").alias("_size")).hint("merge"), "id")
     counts = sized.groupBy("block").agg(
-        F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("_size") / CHUNK_BYTES)).cast("int").alias("chunks"), F.min("id").alias("hub"))
+        F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("_size") / CHUNK_BYTES)).cast("int").alias("chunks"), F.min("id").alias("hub"))
     dealt = stored(members.join(counts.hint("merge"), "block").withColumn("own", F.pmod(F.xxhash64("id"), "chunks").cast("int")), "chunks")
     everywhere = F.explode(F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own")))
     near = stored(compared(dealt.withColumn("i", everywhere).select("block", "i", F.col("i").alias("j"), "id", F.col("id").alias("known"))), "chunk-links")
@@ -244,10 +244,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 85) -> DataFr
     members = stored(bands.join(leads.hint("merge"), "band").select("block", F.col("rep").alias("id")).distinct(), "band-members")
     sketches = classes.select(F.col("rep").alias("id"), F.col("sketch").alias("data")).join(
         members.select("id").distinct().hint("merge"), "id", "left_semi")
-    candidates = connected_components(links_in_blocks(members, stored(sketches, "candidate-sketches"), sketches_near(odd_bits(percent))))
+    candidates = connected_components(links_in_blocks(members, stored(sketches, "candidate-sketches"), sketches_near(odd_bits(percent)), SKETCH_CHUNK))
     blocks = stored(candidates.select(F.col("component").alias("block"), F.col("node").alias("id")), "candidates")
     sets = stored(full_sets(docs, blocks, size), "candidate-sets")
-    links = links_in_blocks(blocks, sets, sets_similar(percent))
+    links = links_in_blocks(blocks, sets, sets_similar(percent), SET_CHUNK)
     names = stored(classes.select("c1", "c2", "rep"), "class-names")
     release(classes)
     named = rows.where("n > 0").join(names.hint("merge"), ["c1", "c2"], "left")

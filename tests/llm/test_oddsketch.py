@@ -30,7 +30,8 @@ def test_odd_rows(spark, size, percent):
 @pytest.mark.parametrize("chunk,size", [(4, 1 << 24), (2048, 3000)])
 def test_large_groups_lose_no_link(spark, monkeypatch, chunk, size):
     """A chain of copies, each like the next one but not like the one after some: no member is near all."""
-    monkeypatch.setattr(oddsketch, "CHUNK", chunk)
+    monkeypatch.setattr(oddsketch, "SKETCH_CHUNK", chunk)
+    monkeypatch.setattr(oddsketch, "SET_CHUNK", chunk)
     monkeypatch.setattr(oddsketch, "CHUNK_BYTES", size)
     rng = random.Random(5)
     words = [f"w{rng.randint(0, 400)}" for _ in range(150)]
