@@ -171,21 +171,22 @@ def damaged(rows: DataFrame) -> DataFrame:
 def ordered_rows(rows: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text, times, fault) in order of conv_id and turn over all partitions.
 
-    Equal rows of a turn become one with their number, before any of them are shuffled twice. fault is that of the first of them: blank,
-    duplicate (its role and text stand in an earlier turn) or truncated, else null; the others are duplicates.
+    Equal rows of a turn become one with their number before they are sorted. fault is that of the first of them: blank, duplicate (its
+    role and text stand in an earlier turn) or truncated, else null; the others are duplicates. What is a duplicate is found out
+    without the texts and comes to the row as a marker (null text) that sorts before it.
     """
-    grouped = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("times").alias("times"))
     said = F.md5(F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.length("role").cast("string"), "role", "text"))
-    known = stored(grouped.withColumn("said", said), "said-rows")
-    first = known.where("times > 0").groupBy("said").agg(F.min(F.struct(F.col("turn").isNotNull(), "turn")).alias("first"))
-    both = known.join(first.hint("merge"), "said", "left")
-    rest = F.rtrim(F.col("text"), F.lit(BLANKS))
-    fault = (F.when(rest == "", "blank")
-             .when(~F.col("turn").eqNullSafe(F.col("first.turn")), "duplicate")
-             .when(~F.right(rest, F.lit(1)).isin(".", "!", "?"), "truncated"))
-    marked = both.select("conv_id", "turn", "role", "text", F.col("times").cast("int").alias("times"), fault.alias("fault"), "said")
     order = ["conv_id", "turn", "role", "said"]
-    return marked.repartitionByRange(*order).sortWithinPartitions(*order).drop("said")
+    small = rows.where("times > 0").select("conv_id", "turn", "role", said.alias("said")).distinct()
+    first = small.groupBy("said").agg(F.min(F.struct(F.col("turn").isNotNull(), "turn")).alias("first"))
+    later = small.join(first.hint("merge"), "said").where(~F.col("turn").eqNullSafe(F.col("first.turn")))
+    markers = later.select(*order, F.lit(None).cast("string").alias("text"), F.lit(0).alias("times"), F.lit("duplicate").alias("fault"))
+    grouped = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("times").cast("int").alias("times"))
+    rest = F.rtrim(F.col("text"), F.lit(BLANKS))
+    fault = F.when(rest == "", "blank").when(~F.right(rest, F.lit(1)).isin(".", "!", "?"), "truncated")
+    marked = grouped.select("conv_id", "turn", "role", said.alias("said"), "text", "times", fault.alias("fault"))
+    both = marked.unionByName(markers).repartitionByRange(*order)
+    return both.sortWithinPartitions(*order, F.col("text").isNotNull()).drop("said")
 
 
 class _Segment:
@@ -193,7 +194,7 @@ class _Segment:
 
     def __init__(self):
         self.rows, self.texts, self.size, self.count = [], [], 0, {"blank": 0, "duplicate": 0, "truncated": 0, "illegal": 0}
-        self.turns, self.present = [], 0  # first, last, number of different ones
+        self.turns, self.cut = [], False  # first, last, number of different ones; whether the conversation goes on in another segment
 
     def add(self, turn: int | None, role: str, text: str, times: int, fault: str | None) -> None:
         for copy in range(times):
@@ -215,8 +216,20 @@ class _Segment:
         return len(self.rows) >= rows or self.size >= SEGMENT_BYTES
 
 
-_RESULT = ("conv_id long, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, "
-           "repaired_sha256 string")
+_RESULT = {"gaps": "long", "blank": "long", "duplicate": "long", "truncated": "long", "illegal": "long", "cost": "long", "audit": "string",
+           "repaired_sha256": "string"}
+_BODY = {"conv_id": "long", "part": "int", "number": "int", "body": "binary"} | _RESULT
+_LINE = {"conv_id": "long", "position": "long", "role": "string", "text": "string"}
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _schema(fields: dict[str, str]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in fields.items())
+
+
+def _batch(fields: dict[str, str], rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[kind]) for c, kind in zip(columns, fields.values())], list(fields))
 
 
 def _packed(segment: _Segment, begins: bool) -> bytes:
@@ -226,37 +239,56 @@ def _packed(segment: _Segment, begins: bool) -> bytes:
     return json.dumps([segment.texts, segment.count, segment.turns, ends, table]).encode()
 
 
-def segments(rows: DataFrame, limit: int = SEGMENT_ROWS) -> DataFrame:
-    """The segments, of about ``limit`` rows at most, of the conversations that ``ordered_rows`` gives, dealt by conversation and in order."""
+def segments(rows: DataFrame, limit: int = SEGMENT_ROWS, finish: bool = False) -> DataFrame:
+    """(conv_id, part, number, body): the segments, of about ``limit`` rows at most, of the conversations, part and number being their order.
+
+    With finish, a conversation that surely is one whole segment gets its result instead (the other columns of ``repair``) and no body.
+    """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        key, number, first, segment, out = None, 0, True, None, []  # the first conversation of a task may have begun in another one
+        key, number, first, segment, out, size, marked = None, 0, True, None, [], 0, False
 
-        def close() -> None:
+        def close(last: bool = False) -> None:
+            """The first conversation of a task may have begun in another one, and its last may go on there."""
+            nonlocal size
             if segment is not None:
-                out.append((key, part, number, _packed(segment, number == 0 and not first)))
-
-        def batch_of(records: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*records), kinds)], ["conv_id", "part", "number", "body"])
+                body = _packed(segment, number == 0 and not first)
+                if finish and number == 0 and not first and not last and not segment.cut:
+                    whole = _Conversation()
+                    whole.add(body)
+                    out.append((key, part, number, None, *whole.result()))
+                else:
+                    out.append((key, part, number, body, *[None] * len(_RESULT)))
+                size += len(body)
 
         for batch in batches:
-            for conv, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            for conv, turn, role, text, times, fault in zip(*(c.to_pylist() for c in batch.columns)):
+                if text is None:
+                    marked = True
+                    continue
                 if segment is None or conv != key or segment.full(limit):
+                    more = segment is not None and conv == key
+                    if more:
+                        segment.cut = True
                     close()
-                    first = first and (segment is None or conv == key)
-                    number = number + 1 if segment is not None and conv == key else 0
+                    first = first and (segment is None or more)
+                    number = number + 1 if more else 0
                     key, segment = conv, _Segment()
-                segment.add(*row)
-                if sum(len(r[3]) for r in out) > SEGMENT_BYTES:
-                    yield batch_of(out)
-                    out = []
-        close()
+                segment.add(turn, role, text, times, "duplicate" if marked and fault != "blank" else fault)
+                marked = False
+                if size > SEGMENT_BYTES:
+                    yield _batch(_BODY, out)
+                    out, size = [], 0
+        close(last=True)
         if out:
-            yield batch_of(out)
+            yield _batch(_BODY, out)
 
     bounded_batches(rows.sparkSession)
-    parts = ordered_rows(rows).mapInArrow(cut, "conv_id long, part int, number int, body binary")
+    return ordered_rows(rows).mapInArrow(cut, _schema(_BODY))
+
+
+def in_order(parts: DataFrame) -> DataFrame:
+    """Segments dealt by conversation, each conversation's in order."""
     return parts.repartition("conv_id").sortWithinPartitions("conv_id", "part", "number").select("conv_id", "body")
 
 
@@ -309,12 +341,6 @@ class _Conversation:
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Results of conversations, whose segments come in order."""
     key, now = None, None
-
-    def batch_of(records):
-        kinds = {"long": pa.int64(), "string": pa.string()}
-        fields = [f.split() for f in _RESULT.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*records), fields)], [n for n, _ in fields])
-
     for batch in batches:
         done = []
         for conv, body in zip(batch.column("conv_id").to_pylist(), batch.column("body")):
@@ -323,10 +349,9 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     done.append((key, *now.result()))
                 key, now = conv, _Conversation()
             now.add(body.as_py())
-        if done:
-            yield batch_of(done)
+        yield _batch({"conv_id": "long"} | _RESULT, done)
     if now is not None:
-        yield batch_of([(key, *now.result())])
+        yield _batch({"conv_id": "long"} | _RESULT, [(key, *now.result())])
 
 
 def repair(rows: DataFrame, limit: int = SEGMENT_ROWS) -> DataFrame:
@@ -335,9 +360,12 @@ def repair(rows: DataFrame, limit: int = SEGMENT_ROWS) -> DataFrame:
     rows: conv_id, turn, role, text (not null) and times, how often the row stands there; a conversation of which all rows have times 0 is
     empty, with zeros. Rows go by turn, nulls first, those of one turn by role and then in an order that their text fixes;
     repeated rows stand together. A null conv_id is a conversation as well. An empty table gives no rows. Segments of about ``limit``
-    rows don't change results. The digest needs the rows of a conversation one after the other; they stream through a task.
+    rows don't change results. Only conversations that are long, or that lie at an end of a task's rows, are joined from segments; the
+    digest needs their rows one after the other, and they stream through a task.
     """
-    return segments(rows, limit).mapInArrow(_joined, _RESULT)
+    parts = stored(segments(rows, limit, finish=True), "conversation-segments")
+    whole = parts.where("body is null").select("conv_id", *_RESULT)
+    return whole.union(in_order(parts.where("body is not null")).mapInArrow(_joined, _schema({"conv_id": "long"} | _RESULT)))
 
 
 def repaired_rows(rows: DataFrame, limit: int = SEGMENT_ROWS) -> DataFrame:
@@ -352,16 +380,10 @@ def repaired_rows(rows: DataFrame, limit: int = SEGMENT_ROWS) -> DataFrame:
                     key, now = conv, _Written(conv)
                 now.add(body.as_py())
                 out += now.take()
-            yield _text_batch(out)
-        yield _text_batch(now.rest() if now else [])
-
-    return segments(rows, limit).mapInArrow(write, "conv_id long, position long, role string, text string")
-
+            yield _batch(_LINE, out)
+        yield _batch(_LINE, now.rest() if now else [])
 
-def _text_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
-    columns = zip(*rows) if rows else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["conv_id", "position", "role", "text"])
+    return in_order(segments(rows, limit)).mapInArrow(write, _schema(_LINE))
 
 
 class _Written(_Conversation):
