@@ -10,8 +10,8 @@ from gradeloom.lookups import SWEEP_VALUES
 from gradeloom.operators import failures as FA, grid as G, paths as P, resume as R, samples as S, scoring as SC, summary as SU
 from gradeloom.plans import evaluation as EV, postscore as PS
 from gradeloom.schemas import KEY, LOG_COLUMNS, LOG_V1, LOG_V2, LOG_V3, SCORE_METRICS
-from gradeloom.sources import reports, runlog
-from gradeloom.sources.datasets import read_samples as read_dataset_samples
+from gradeloom.sources import keyindex as KI, reports, runlog
+from gradeloom.sources.datasets import read_dataset, read_samples as read_dataset_samples
 from gradeloom.sources.files import Folder
 from gradeloom.sources.scratch import scratch_path, written
 from gradeloom.streaming import scoring as ST
@@ -28,19 +28,33 @@ def row_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.with_row_position(I.table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "sample_idx")
 
 
-def read_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders and documents as two question files each, read back as datasets."""
-    folder = scratch_path(spark, "samples")
+def _sample_files(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Orders and documents as two question sets, each in order."""
     orders, documents = I.table(spark, sf_dir, "orders"), I.table(spark, sf_dir, "documents")
     total = F.floor("o_totalprice").cast("long").cast("string")
-    for name, key, rows in (
-            ("numeric", "o_orderkey", orders.select("o_orderkey", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("question"),
-                                                    F.concat(F.lit("#### "), total).alias("answer"))),
-            ("boolean", "doc_id", documents.select("doc_id", F.col("text").alias("question"), (F.col("lang") == "en").alias("answer")))):
-        rows.repartitionByRange(3, key).sortWithinPartitions(key).drop(key).write.parquet(f"{folder}/{name}")
+    return [rows.repartitionByRange(3, key).sortWithinPartitions(key).drop(key) for key, rows in (
+        ("o_orderkey", orders.select("o_orderkey", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("question"),
+                                     F.concat(F.lit("#### "), total).alias("answer"))),
+        ("doc_id", documents.select("doc_id", F.col("text").alias("question"), (F.col("lang") == "en").alias("answer"))))]
+
+
+def read_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question sets written as Parquet, read back as datasets."""
+    folder = scratch_path(spark, "samples")
+    for name, rows in zip(("numeric", "boolean"), _sample_files(spark, sf_dir)):
+        rows.write.parquet(f"{folder}/{name}")
     return read_dataset_samples(spark, f"{folder}/numeric", f"{folder}/boolean")
 
 
+def read_text_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question sets written as JSON lines and as CSV without numbers, read back as datasets whose rows are numbered by position."""
+    folder = scratch_path(spark, "samples")
+    numeric, boolean = _sample_files(spark, sf_dir)
+    numeric.write.json(f"{folder}/numeric")
+    boolean.write.options(header=True, quote='"', escape='"').csv(f"{folder}/boolean")
+    return read_dataset(spark, "gsm8k", f"{folder}/numeric", "json").unionByName(read_dataset(spark, "strategyqa", f"{folder}/boolean", "csv"))
+
+
 def first_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.first_n(I.runs(spark, sf_dir), 100).select(*ROW, "strategy", "answer_raw")
 
@@ -179,6 +193,15 @@ def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.pending(grid, _logged(spark, sf_dir)).select(*KEY)
 
 
+def resume_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a bucketed index of the log's keys, written from one half of the log and extended by the other."""
+    grid = EV.experiment_grid(I.path_samples(spark, sf_dir).select(*ROW), [I.PATH_CONDITION])
+    logged, path = _logged(spark, sf_dir), scratch_path(spark, "keys")
+    name, buckets = f"keys_{path[-32:]}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    KI.write_key_index(logged.where("sample_idx % 16 < 8"), name, path, buckets)
+    return KI.pending_by_index(grid, KI.extend_key_index(logged.where("sample_idx % 16 >= 4"), name, path)).select(*KEY)
+
+
 def pending_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = EV.pending_prompts(I.path_samples(spark, sf_dir), _logged(spark, sf_dir), conditions=[I.PATH_CONDITION])
     return prompts.select(*KEY, "prompt")
@@ -371,15 +394,13 @@ def failure_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """Orders arrive in files of which some repeat keys, one file a batch; the query stops and starts again before the last ones."""
+    """Orders arrive in parts of which some repeat keys; the query stops after each of them and starts again."""
     folder = scratch_path(spark, "stream")
     table, key = I.table(spark, sf_dir, "orders"), F.col("o_orderkey")
     table.limit(0).write.parquet(f"{folder}/orders/none")
-    orders = (spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
-              .parquet(f"{folder}/orders"))
-    for parts in ([0, 1], [2]):
-        for part in parts:
-            table.where((key % 3 == part) | (key % 7 == part)).coalesce(1).write.parquet(f"{folder}/orders/{part}")
+    orders = spark.readStream.schema(table.schema).option("recursiveFileLookup", True).parquet(f"{folder}/orders")
+    for part in range(3):
+        table.where((key % 3 == part) | (key % 7 == part)).write.parquet(f"{folder}/orders/{part}")
         ST.score_stream(I.numeric_runs(orders), f"{folder}/log", f"{folder}/checkpoint", f"{folder}/totals").awaitTermination()
     return f"{folder}/log", f"{folder}/totals"
 
@@ -393,9 +414,9 @@ def streaming_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in [
-    sample_scan, read_samples, row_position, first_n, answer_line, numeric_answer, boolean_answer, gold_normalise, exact_match_rows,
+    sample_scan, read_samples, read_text_samples, row_position, first_n, answer_line, numeric_answer, boolean_answer, gold_normalise, exact_match_rows,
     dataset_em, substring_match, numeric_close, token_f1, rouge_l, prompt_build, template_table, ablation_grid,
-    condition_parse, condition_table, attach_generations, majority_vote, path_concat, resume_pending, pending_prompts, evaluate_paths,
+    condition_parse, condition_table, attach_generations, majority_vote, path_concat, resume_pending, resume_by_index, pending_prompts, evaluate_paths,
     score_rows, condition_summary, em_pivot, model_summary, failure_rows, failure_counts, failure_counts_one_model, backfill, metric_rates,
     embedding_f1, embedding_rates, run_log_union, damaged_logs, write_back, append_once, rescore_in_place, embedding_write_back, backfill_logs, analyse_failures, summary_export, failure_export, streaming_scores,
     streaming_summary,

@@ -465,6 +465,7 @@ _PAIR_OVERLAP = _PAIRS + overlap("pairs", "conv_id, turn", "generation", "gold_t
 ORACLES = {
     "sample_scan": _with(_RUNS, "select dataset, sample_idx, question, answer_raw from runs"),
     "read_samples": _READ,
+    "read_text_samples": _READ,
     "condition_table": _TABLE,
     "row_position": "select doc_id, row_number() over (order by doc_id) - 1 sample_idx from documents",
     "first_n": _with(_RUNS, "select dataset, sample_idx, strategy, answer_raw from runs where sample_idx < 100"),
@@ -493,6 +494,7 @@ ORACLES = {
             from gens where t <> '' group by all)) where rk = 1) using (sample_idx)"""),
     "path_concat": _with(_PATHS, "select dataset, strategy, sample_idx, condition, generation, predicted_answer from voted"),
     "resume_pending": _with(_PENDING, "select dataset, strategy, sample_idx, condition from open"),
+    "resume_by_index": _with(_PENDING, "select dataset, strategy, sample_idx, condition from open"),
     "pending_prompts": _with(_PENDING_PROMPTS, ""),
     "evaluate_paths": _with(_EVALUATED, ""),
     "score_rows": _with(_SCORED, f"select {_RESULT}, {_METRICS}, latency_s from scored"),

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gradeloom.operators.samples import with_row_position
+from gradeloom.operators.samples import with_row_position, with_text_position
 from gradeloom.schemas import SAMPLES
 
 _ANSWER_TYPES = {"gsm8k": "string", "strategyqa": "boolean"}
@@ -12,8 +12,9 @@ def read_dataset(spark: SparkSession, dataset: str, path: str, fmt: str = "parqu
                  index: str | None = None) -> DataFrame:
     """One dataset with columns ``question`` and ``answer`` as a samples table.
 
-    ``index`` names a column that numbers the rows from 0. Parquet files can do
-    without: their rows are numbered by position.
+    ``index`` names a column that numbers the rows from 0. Without it rows are numbered by their position in the
+    files, which count in the order of their paths. CSV files may have line ends within quotes and are
+    read whole; JSON files have a record a line and are split.
     """
     if fmt == "parquet":
         raw = spark.read.parquet(path)
@@ -29,7 +30,7 @@ def read_dataset(spark: SparkSession, dataset: str, path: str, fmt: str = "parqu
     elif fmt == "parquet":
         placed = with_row_position(raw)
     else:
-        raise ValueError(f"{fmt} files need an index column.")
+        placed = with_text_position(raw)
     return placed.select(
         F.lit(dataset).alias("dataset"), F.col("sample_idx").cast("long").alias("sample_idx"), "question",
         F.col("answer").cast("string").alias("answer_raw"))

@@ -118,7 +118,7 @@ def log_table(spark: SparkSession, path: str) -> LogTable:
 def append_log(scored: DataFrame, path: str, job: str | None = None) -> bool:
     """Append scored rows to a log, all of them at once; a ``job`` id that is committed already adds nothing and gives False."""
     table = log_table(scored.sparkSession, path)
-    if not table.exists() and any("=" in name for name in Folder(scored.sparkSession, path).names()):
+    if not table.exists() and any(name.startswith("dataset=") for name in Folder(scored.sparkSession, path).names()):
         raise ValueError(f"{path} is a plain Parquet folder without commits; rescore it into a new log instead.")
     return table.append(scored, job)
 

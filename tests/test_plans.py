@@ -7,6 +7,7 @@ from gradeloom.catalog import queries as Q
 from gradeloom.operators import scoring as SC
 from gradeloom.plans import evaluation as EV
 from gradeloom.schemas import GENERATIONS, SAMPLES
+from gradeloom.sources import keyindex as KI
 from test_skew import plan_of
 
 FOLDER = "/root/testdata/sf0.001"
@@ -68,6 +69,23 @@ def test_log_pruning_for_resume(spark, no_broadcast, tmp_path):
     assert "text" not in read.split("ReadSchema")[1]
 
 
+def test_the_key_index_is_never_moved(spark, tmp_path):
+    samples, generations = tables(spark)
+    log = generations.where("sample_idx < 2")
+    KI.write_key_index(log.where("sample_idx = 0"), "keys_of_a_test", f"{tmp_path}/keys", 8)
+    spark.sql("drop table keys_of_a_test")  # as in another session
+    index = KI.extend_key_index(log, "keys_of_a_test", f"{tmp_path}/keys")
+    assert index.count() == 2
+    grid = EV.experiment_grid(samples.select("dataset", "sample_idx"), strategies=["zero_shot_cot"])
+    left = KI.pending_by_index(grid.drop("condition").withColumn("condition", F.concat(F.lit("c"), "sample_idx")), index)
+    plan = plan_of(left)
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+    right = plan[plan.index("FileScan parquet spark_catalog.default.keys_of_a_test"):]
+    assert "Exchange" not in right and "Exchange" not in plan[:plan.index("FileScan")].rsplit("+- ", 1)[-1]
+    assert sorted(r["sample_idx"] for r in left.collect()) == [2, 3]
+    spark.sql("drop table keys_of_a_test")
+
+
 def test_schemas_name_what_the_operators_read():
     assert SAMPLES.names == ["dataset", "sample_idx", "question", "answer_raw"]
     assert {"path_no", "text"} <= set(GENERATIONS.names)

@@ -1,3 +1,6 @@
+import csv
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,12 +24,51 @@ def test_positions_follow_the_files(spark, tmp_path):
     assert [r["gold_answer"] for r in gold] == ["yes", "no"] * 3 + ["yes"]
 
 
-def test_json_datasets_need_an_index(spark, tmp_path):
+def test_json_datasets_with_and_without_an_index(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"id": 1, "question": "q", "answer": true}\n{"id": 0, "question": "r", "answer": false}\n')
     rows = read_dataset(spark, "strategyqa", f"{tmp_path}/a.json", "json", index="id").orderBy("sample_idx").collect()
     assert [(r["question"], r["answer_raw"]) for r in rows] == [("r", "false"), ("q", "true")]
-    with pytest.raises(ValueError):
-        read_dataset(spark, "strategyqa", f"{tmp_path}/a.json", "json")
+    rows = read_dataset(spark, "strategyqa", f"{tmp_path}/a.json", "json").orderBy("sample_idx").collect()
+    assert [(r["sample_idx"], r["question"], r["answer_raw"]) for r in rows] == [(0, "q", "true"), (1, "r", "false")]
+
+
+@pytest.fixture
+def small_splits(spark):
+    for key, value in (("maxPartitionBytes", "300"), ("openCostInBytes", "100")):
+        spark.conf.set(f"spark.sql.files.{key}", value)
+    yield
+    for key in ("maxPartitionBytes", "openCostInBytes"):
+        spark.conf.unset(f"spark.sql.files.{key}")
+
+
+def test_positions_in_split_text_files(spark, tmp_path, small_splits):
+    """Many splits a file, blank lines, long and short lines, an empty file; several files in one task."""
+    folder, want = tmp_path / "json", []
+    folder.mkdir()
+    for f, n in (("a", 120), ("b", 0), ("c", 1), ("d", 60)):
+        lines = []
+        for i in range(n):
+            want.append(f"{f}{i} é" + "x" * (i * 37 % 500))
+            lines.append(json.dumps({"question": want[-1], "answer": f"#### {i}"}, ensure_ascii=False) + ("\n\n" if i % 7 == 0 else "\n"))
+        (folder / f"{f}.json").write_text("".join(lines), encoding="utf-8")
+    found = read_dataset(spark, "gsm8k", str(folder), "json")
+    assert spark.read.text(str(folder)).rdd.getNumPartitions() > 20
+    assert [(r["sample_idx"], r["question"]) for r in found.orderBy("sample_idx").collect()] == list(enumerate(want))
+    assert first_n(found, 3).count() == 3
+
+
+def test_positions_in_csv_files_with_line_ends(spark, tmp_path, small_splits):
+    folder, want = tmp_path / "csv", []
+    folder.mkdir()
+    for f in "ab":
+        with open(folder / f"{f}.csv", "w", newline="", encoding="utf-8") as file:
+            out = csv.writer(file)
+            out.writerow(["question", "answer"])
+            for i in range(40):
+                want.append((f'{f}{i} "said",\nand\\ left', i % 3 == 0))
+                out.writerow([want[-1][0], str(want[-1][1]).lower()])
+    found = read_dataset(spark, "strategyqa", str(folder), "csv").orderBy("sample_idx").collect()
+    assert [(r["sample_idx"], r["question"], r["answer_raw"]) for r in found] == [(i, q, str(a).lower()) for i, (q, a) in enumerate(want)]
 
 
 def test_scratch_paths_are_new(spark):
