@@ -1,13 +1,12 @@
 """Token ids of texts, flat token files, and the scan that finds document ends in them."""
 
 import os
-import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
@@ -20,10 +19,13 @@ VOCABULARY = "byte_bpe_50k.json"
 SEPARATOR = 50256  # <|endoftext|>, which encoding never gives here
 BLOCK_BYTES = 4 << 20
 
-_CACHED = 400_000  # pieces in each of two generations
-#: Texts that are not cut at blanks before encoding have other blanks or the markers used below, two blanks in a row, or special tokens.
-_OTHER_BLANKS = re.compile("[\0\1\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-_PAIRS = ("  ", "\n\n", " \n", "\n ", "<|")
+_CACHED = 300_000  # pieces in each of two generations
+_CALL_BYTES = 2 << 20  # of text that is cut into pieces at a time
+#: Texts that are not cut into pieces have other blanks or the markers used below, two blanks in a row, or special tokens.
+_UNEVEN = ("[\\x00\\x01\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200d}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{2060}"
+           "\\x{3000}\\x{feff}]|  |\n\n| \n|\n |<\\|")
+#: Between a Latin letter and ASCII punctuation there is always a cut.
+_WORD_END = r"([A-Za-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~])"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -32,16 +34,33 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-#: A piece that begins with Latin letters and goes on with ASCII punctuation is always split there too.
-_WORD_REST = re.compile(r"([\0\1]?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~].*)", re.DOTALL)
+class _Known:
+    """Pieces and their ids, one after the other in an array."""
+
+    def __init__(self, dtype: np.dtype):
+        self.place: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, dtype), np.zeros(1, np.int64)
+
+    def add(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces))))
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of the pieces at some places."""
+        begins, lengths = self.ends[places], self.ends[places + 1] - self.ends[places]
+        before = np.cumsum(lengths) - lengths
+        return self.ids[np.repeat(begins - before, lengths) + np.arange(lengths.sum())], lengths
 
 
 class Encoder:
-    """Encodes texts with the tokenizers library, remembering what it gave for pieces between blanks.
+    """Encodes texts with the tokenizers library, remembering what it gave for pieces.
 
-    Byte-level pre-tokenisation always splits before a single blank between other characters, so the ids of a text are those
-    of its pieces, one after the other. Texts where that isn't plain are encoded whole. Memory is bounded: when a generation of
-    pieces is full, it becomes the old one, from which pieces still in use are taken over.
+    Byte-level pre-tokenisation always splits before a single blank between other characters, around a line end between such, and
+    between a Latin letter and ASCII punctuation, so the ids of a text are those of its pieces, one after the other. Columns
+    of texts are cut and their different pieces found by Arrow; the library is asked once for each that isn't known. Texts where the cuts
+    aren't plain are encoded whole. Memory is bounded: when a generation of pieces is full, it becomes the old one, from which
+    pieces still in use are taken over.
     """
 
     def __init__(self, path: str, plain_specials: bool):
@@ -51,72 +70,66 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.code = "H" if self.dtype.itemsize == 2 else "I"  # of array
-        self.line_end_id, = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line_end = array(self.code, [self.line_end_id]).tobytes()
-        blank = array(self.code, self.tokenizer.encode(" ", add_special_tokens=False).ids).tobytes()
-        self.bare = {"\1": b"", "": blank}  # what lines can't hold
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian bytes of ``dtype``."""
-        out, late, whole, missing = [], [], [], set()
-        for i, text in enumerate(texts):
-            if _OTHER_BLANKS.search(text) or any(p in text for p in _PAIRS):
-                whole.append(i)
-                out.append(b"")
-                continue
-            pieces = text.replace("\n", " \0").split(" ")
-            pieces[0] = "\1" + pieces[0]
-            ids = list(map(self.young.get, pieces))
-            gaps = [(k, pieces[k]) for k, known in enumerate(ids) if known is None] if None in ids else []
-            if gaps:
-                missing.update(p for _, p in gaps)
-                late.append((i, ids, gaps))
-                out.append(b"")
-            else:
-                out.append(b"".join(ids))
-        self._learn(missing)
-        for i, ids, gaps in late:
-            for k, piece in gaps:
-                ids[k] = self.young[piece]
-            out[i] = b"".join(ids)
-        for i, found in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False)):
-            out[i] = array(self.code, found.ids).tobytes()
-        if len(self.young) > _CACHED:
-            self.old, self.young = self.young, {}
+        self.line_end, = self._library(["\n"])[0]
+        self.young, self.old = self._empty(), _Known(self.dtype)
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(found.ids, self.dtype) for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _empty(self) -> _Known:
+        """What lines can't hold: nothing, a blank at the end of a text, a line end."""
+        known, blank = _Known(self.dtype), self._library([" "])[0]
+        known.add(["\1", "", "\0"], np.append(blank, self.line_end).astype(self.dtype), np.array([0, len(blank), 1]))
+        return known
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text (null: none), as little-endian bytes of ``dtype``."""
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        sizes, out, row = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)), [], 0
+        while row < len(column):
+            done = int(sizes[row - 1]) if row else 0
+            end = max(row + 1, int(np.searchsorted(sizes, done + _CALL_BYTES, "right")))
+            out += self._column(column.slice(row, end - row))
+            row = end
+        return out
+
+    def _column(self, column: pa.Array) -> list[bytes]:
+        uneven = pc.match_substring_regex(column, _UNEVEN)
+        whole = np.flatnonzero(uneven.to_numpy(zero_copy_only=False))
+        if len(whole):
+            texts = column.take(pa.array(whole)).to_pylist()
+            column = pc.if_else(uneven, "", column)
+        marked = pc.replace_substring_regex(pc.binary_join_element_wise("\1", column, ""), _WORD_END, "\\1 \1\\2")
+        lists = pc.split_pattern(pc.replace_substring(marked, "\n", " \0 \1"), " ")
+        pieces = pc.dictionary_encode(lists.flatten())
+        places = self._places(pieces.dictionary.to_pylist())  # may begin a new generation
+        ids, lengths = self.young.take(places[pieces.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(lengths)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        out = [ids[a:b].tobytes() for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        if len(whole):
+            for row, found in zip(whole, self._library(texts)):
+                out[row] = found.tobytes()
         return out
 
-    def _learn(self, keys: set[str]) -> None:
-        young, old = self.young, self.old
-        atoms: list[tuple[str, bytes, list[str]]] = []
-        missing: set[str] = set()
-        for key in keys:
-            if (ids := old.get(key)) is not None:
-                young[key] = ids
-                continue
-            # A line end is always split from what follows it.
-            head, rest = (self.line_end, "\1" + key[1:]) if key[:1] == "\0" else (b"", key)
-            split = _WORD_REST.match(rest)
-            parts = [split[1], "\1" + split[2]] if split else [rest]
-            atoms.append((key, head, parts))
-            missing.update(parts)
-        young |= self.bare
-        missing = [k for k in missing if k not in young and k not in old]
-        for at in range(0, len(missing), 1000):
-            some = missing[at:at + 1000]
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        """Where the young generation has these different pieces, once it has learnt them."""
+        if len(self.young.place) > _CACHED:
+            self.young, self.old = self._empty(), self.young
+        young, old = self.young.place, self.old.place
+        missing = [p for p in pieces if p not in young]
+        kept = [p for p in missing if p in old]
+        if kept:
+            self.young.add(kept, *self.old.take(np.array([old[p] for p in kept])))
+            missing = [p for p in missing if p not in old]
+        for at in range(0, len(missing), 4096):
+            some = missing[at:at + 4096]
             # One to a line; a line end between other characters is split from both.
-            lines = "".join((k[1:] if k[:1] == "\1" else " " + k) + "\n" for k in some)
-            found = np.array(self.tokenizer.encode_batch_fast([lines], add_special_tokens=False)[0].ids, self.dtype)
-            ends = (np.flatnonzero(found == self.line_end_id) * self.dtype.itemsize).tolist()
-            data, begin = found.tobytes(), 0
-            for key, end in zip(some, ends, strict=True):
-                young[key] = data[begin:end]
-                begin = end + self.dtype.itemsize
-        for key, head, parts in atoms:
-            ids = [young[p] if p in young else old[p] for p in parts]
-            young[key] = head + ids[0] if len(ids) == 1 else head + ids[0] + ids[1]
+            found, = self._library(["\n".join([p[1:] if p[0] == "\1" else " " + p for p in some]) + "\n"])
+            ends = np.flatnonzero(found == self.line_end)
+            if len(ends) != len(some):
+                raise ValueError("The library joined pieces that were taken to be split.")
+            self.young.add(some, np.delete(found, ends), np.diff(ends, prepend=-1) - 1)
+        return np.fromiter(map(young.__getitem__, pieces), np.int64, len(pieces))
 
 
 @lru_cache(4)
@@ -125,11 +138,9 @@ def encoder(path: str, plain_specials: bool = False) -> Encoder:
     return Encoder(path, plain_specials)
 
 
-def encoded(batch: pa.RecordBatch, coder: Encoder, rows: int = 256) -> Iterator[tuple[int | None, bytes]]:
+def encoded(batch: pa.RecordBatch, coder: Encoder) -> Iterator[tuple[int | None, bytes]]:
     """(doc_id, ids) of each row of a batch."""
-    for at in range(0, batch.num_rows, rows):
-        part = batch.slice(at, rows)
-        yield from zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text").to_pylist()))
+    yield from zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text")))
 
 
 def shared_folder(uri: str) -> tuple[pa.fs.FileSystem, str]:
