@@ -7,15 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gradeloom.sources.files import Folder
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder named in ``spark.checkpoint.dir``.
+    """A new path in the application's own folder below the shared one named in ``spark.checkpoint.dir``.
 
     A local session without the setting uses a new temporary folder, which goes
     when the process ends; elsewhere the setting is required, as tasks on other
     machines must see the folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = _root(spark)
     if not root:
         master = spark.conf.get("spark.master", "")
         if master != "local" and not master.startswith("local["):
@@ -25,6 +27,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _root(spark: SparkSession) -> str | None:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/gradeloom-{spark.sparkContext.applicationId}" if shared else None
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once nothing is to be read from its results any more."""
+    root = _root(spark)
+    if root:
+        Folder(spark, root).delete()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The table written to the shared folder and read back, for what is used more than once."""
     path = scratch_path(df.sparkSession, name)

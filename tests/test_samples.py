@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.operators.samples import first_n, with_gold
+from gradeloom.sources import scratch
 from gradeloom.sources.datasets import read_dataset, read_samples
-from gradeloom.sources.scratch import scratch_path
+from gradeloom.sources.scratch import scratch_path, written
 
 
 def test_positions_follow_the_files(spark, tmp_path):
@@ -71,5 +72,10 @@ def test_positions_in_csv_files_with_line_ends(spark, tmp_path, small_splits):
     assert [(r["sample_idx"], r["question"], r["answer_raw"]) for r in found] == [(i, q, str(a).lower()) for i, (q, a) in enumerate(want)]
 
 
-def test_scratch_paths_are_new(spark):
+def test_scratch_paths_are_new_and_can_be_cleared(spark, tmp_path, monkeypatch):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+    monkeypatch.setattr(scratch, "_root", lambda spark: f"{tmp_path}/shared/app")
+    assert written(spark.range(3), "table").count() == 3 and len(list((tmp_path / "shared/app").iterdir())) == 1
+    scratch.clear_scratch(spark)
+    assert list((tmp_path / "shared").iterdir()) == []
+    scratch.clear_scratch(spark)
