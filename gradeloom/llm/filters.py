@@ -46,7 +46,10 @@ def maybe_in(df: DataFrame, column: str, bitmap: np.ndarray, inside: bool = True
 
 
 def without_ids(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """Anti join of a table of long rows with a set of ids (column ``id``): only rows whose id meets the bitmap are shuffled."""
+    """Anti join of a table of long rows with a set of ids (column ``id``): only rows whose id meets the bitmap are shuffled.
+
+    Rows with a null id stay, repeated rows stay or go together; an empty set drops nothing.
+    """
     bitmap = id_bitmap(ids, "id")
     near = maybe_in(df, column, bitmap)
     kept = near.join(ids, near[column] == ids["id"], "left_anti")

@@ -144,7 +144,10 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents, with all their columns, that the model does not reject."""
+    """The documents, with all their columns, that the model does not reject.
+
+    A null text is scored as an empty one, repeated rows stay or go together, an empty table gives none.
+    """
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_batch_scores(model, batch) >= THRESHOLD))

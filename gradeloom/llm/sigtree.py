@@ -265,6 +265,18 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
 
 
 def drop_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, with all their columns, but of each component only the one with the smallest doc_id (all rows with that id)."""
-    gone = jaccard_components(docs, size, percent).where("component_id != doc_id").select(F.col("doc_id").alias("id")).distinct()
-    return without_ids(docs, "doc_id", stored(gone, "similar-ids"))
+    """The documents, with all their columns, but of each component only the one with the smallest doc_id.
+
+    Rows are told apart by numbers of their own: of rows with one id, or of null ids, that belong to one component, one stays; a
+    null id counts as the largest. Documents without words are like nothing and all stay. An empty table gives none.
+    """
+    name = "number" + "_" * max(map(len, docs.columns))  # no column of the input
+    rows = stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    found = jaccard_components(rows.select(F.col(name).alias("doc_id"), "text"), size, percent)
+    members = stored(found.select(F.col("doc_id").alias("id"), F.col("component_id").alias("component")), "members")
+    several = members.where("id != component").select("component").distinct()
+    named = members.join(several.hint("merge"), "component", "left_semi").join(
+        rows.select(F.col(name).alias("id"), "doc_id").hint("merge"), "id")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("first"))
+    gone = named.join(first.hint("merge"), "component").where("id != first.id").select("id")
+    return without_ids(rows, name, stored(gone, "similar-ids")).drop(name)

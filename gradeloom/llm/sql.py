@@ -43,35 +43,36 @@ select * from mined where "rank" <= 3"""
 
 def conversation_repair() -> str:
     """All cheapest paths to each state of a conversation, row by row, as (cost, edits, repaired text); the least one is kept."""
-    def offers(*parts: tuple[str, int, str, str]) -> str:
-        """parts: state, cost, edits, condition; I stands for an inserted row, K and R for the row kept or with another role."""
-        made = []
-        for state, cost, edits, condition in parts:
-            letter, other = ("u", "a") if "u" in condition else ("a", "u")
-            roles = {"u": "user", "a": "assistant"}
-            text = f"d.{state}.t"
-            if "I" in edits:
-                text += f" || chr(10) || '{roles[other]}:'"
-            if edits.endswith("K"):
-                text += ' || chr(10) || r.role || \':\' || r."text"'
-            if edits.endswith("R"):
-                text += f" || chr(10) || '{roles[letter]}:' || r.\"text\""
-            free = "true" if edits == "D" else f"not r.forced and ({condition.replace('u', chr(39) + 'u' + chr(39)).replace('a', chr(39) + 'a' + chr(39)).replace('s', chr(39) + 's' + chr(39)) if edits.endswith('K') else 'true'})"
-            free = free.replace("=", "left(r.role, 1) =") if edits.endswith("K") else free
-            more = str(cost) if edits == "D" else f"{cost} + case when r.cut then 5 else 0 end"
-            made.append(f"case when d.{state}.c is not null and {free} then {{'c': d.{state}.c + {more}, 'w': d.{state}.w || '{edits}', 't': {text}}} end")
+    names = {"u": "user", "a": "assistant"}
+    costs = {"K": 0, "R": 1, "D": 2, "I": 5}
+
+    def offer(state: str, edits: str, letter: str) -> str:
+        """The path to a state, lengthened by edits of the row: kept with its letter, given its role, deleted, or after an inserted row."""
+        edit, line = edits[-1], "chr(10) || "
+        allowed = {"D": "true", "K": f"not r.forced and left(r.role, 1) = '{letter}'", "R": "not r.forced"}[edit]
+        inserted = f" || {line}'{names['ua'[letter == 'u']]}:'" if edits[0] == "I" else ""
+        written = {"D": "", "K": f""" || {line}r.role || ':' || r."text\"""", "R": f""" || {line}'{names.get(letter)}:' || r."text\""""}[edit]
+        cost = f"{sum(costs[e] for e in edits)} + " + ("0" if edit == "D" else "case when r.cut then 5 else 0 end")
+        return (f"case when d.{state}.c is not null and {allowed} then {{'c': d.{state}.c + {cost}, 'w': d.{state}.w || '{edits}', "
+                f"'t': d.{state}.t{inserted}{written}}} end")
+
+    def least(letter: str, *parts: tuple[str, str]) -> str:
+        """The least of what is offered: (states, edits) with which the state of a letter is reached."""
+        made = [offer(state, edits, letter) for states, edits in parts for state in states]
         return f"list_min(list_filter([{', '.join(made)}], lambda x: x is not null))"
 
-    enter_u = [(x, c, e, "=u") for x in "esa" for c, e in ((0, "K"), (1, "R"))] + [("u", 5, "IK", "=u"), ("u", 6, "IR", "=u")]
-    enter_a = [("u", 0, "K", "=a"), ("u", 1, "R", "=a")] + [(x, c, e, "=a") for x in "esa" for c, e in ((5, "IK"), (6, "IR"))]
-    byte = "list_reduce(range(1, 9), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, xor(c, b))"
+    steps = ",\n    ".join([
+        least("", ("e", "D")), least("s", ("s", "D"), ("e", "K")),
+        least("u", ("u", "D"), ("esa", "K"), ("esa", "R"), ("u", "IK"), ("u", "IR")),
+        least("a", ("a", "D"), ("u", "K"), ("u", "R"), ("esa", "IK"), ("esa", "IR"))])
+    shift = "list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)"
     return rf"""
 with recursive keyed as (
   select *, coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') k,
     coalesce(role, ' ') r0, coalesce("text", ' ') t0 from conversations),
 summed as (
   select *, xor(list_reduce(list_transform(range(1, len(k) + 1), lambda i: cast(ord(substr(k, i, 1)) as bigint)),
-    lambda c, b: {byte.replace("range(1, 9), lambda x, i:", "list_concat([xor(c, b)], range(1, 9)), lambda x, i:").replace(", xor(c, b))", ")")},
+    lambda c, b: {shift},
     cast(4294967295 as bigint)), 4294967295) % 20 m from keyed),
 damaged as (
   select conv_id, turn, case when m = 4 then 'user' else r0 end as role,
@@ -93,10 +94,7 @@ steps as (
     {{'c': cast(null as bigint), 'w': '', 't': ''}} u, {{'c': cast(null as bigint), 'w': '', 't': ''}} a from counts
   union all
   select d.conv_id, r.rn,
-    {offers(("e", 2, "D", ""))},
-    {offers(("s", 2, "D", ""), ("e", 0, "K", "=s"))},
-    {offers(("u", 2, "D", ""), *enter_u)},
-    {offers(("a", 2, "D", ""), *enter_a)}
+    {steps}
   from steps d join faulty r on r.conv_id is not distinct from d.conv_id and r.rn = d.rn + 1),
 ends as (
   select d.conv_id, list_min(list_filter([d.e, d.a,
