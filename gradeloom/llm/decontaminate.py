@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -10,7 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import parts, whole_text
 
 ERROR_EVERY = 12  # characters of an item for each allowed edit
-MIN_CHARS = 40  # shorter items are no evidence of a leak
+MIN_CHARS = 1  # of an item
+WHOLE_WORDS = 40  # characters below which an item counts only between word boundaries, as it may be part of an ordinary word or phrase
 CHUNK_CHARS = 16 << 20  # of benchmark text that one automaton holds
 
 _NAMES = ["doc_id", "item_id", "distance", "start", "end"]
@@ -34,15 +36,14 @@ def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def myers(pattern_bits: dict[str, int], length: int, text: str) -> tuple[int, int]:
-    """(distance, end) of the best approximate occurrence of a pattern anywhere in the text, the leftmost such end.
+def distances(pattern_bits: dict[str, int], length: int, text: str) -> Iterator[tuple[int, int]]:
+    """(distance, end) of the best approximate occurrence of a pattern that ends there, for every end in a text from 1 on.
 
     pattern_bits maps each character to the positions where the pattern has it. One column of the edit matrix is two bit vectors
-    of vertical differences, advanced by a few integer operations per character.
+    of vertical differences, advanced by a few integer operations per character (Myers, 1999).
     """
     mask, high = (1 << length) - 1, 1 << length - 1
     plus, minus, score = mask, 0, length
-    best, end = length, 0
     for i, c in enumerate(text, 1):
         match = pattern_bits.get(c, 0)
         diagonal = (((match & plus) + plus) ^ plus) | match | minus
@@ -54,9 +55,18 @@ def myers(pattern_bits: dict[str, int], length: int, text: str) -> tuple[int, in
         up, down = (up << 1) & mask, (down << 1) & mask
         vertical = match | minus
         plus, minus = down | (~(vertical | up) & mask), up & vertical
-        if score < best:
-            best, end = score, i
-    return best, end
+        yield score, i
+
+
+def myers(pattern_bits: dict[str, int], length: int, text: str) -> tuple[int, int]:
+    """(distance, end) of the best approximate occurrence of a pattern anywhere in the text, the leftmost such end."""
+    return min(chain([(length, 0)], distances(pattern_bits, length, text)))
+
+
+def _bounded(text: str, start: int, end: int) -> bool:
+    """Whether a stretch neither begins nor ends inside a word."""
+    inside = lambda i: 0 < i < len(text) and text[i - 1].isalnum() and text[i].isalnum()
+    return not inside(start) and not inside(end)
 
 
 def _bits(text: str) -> dict[str, int]:
@@ -100,23 +110,25 @@ class Matcher:
                 held.append((low, high))
         for number, spans in windows.items():
             item_id, item, errors, forward, backward = self.items[number]
-            best = None
+            whole = len(item) < WHOLE_WORDS
+            hits = []
             for low, high in spans:
-                distance, end = myers(forward, len(item), text[low:high])
-                if distance <= errors and (best is None or distance < best[0]):
-                    best = (distance, low, low + end)
-            if best:
-                distance, low, end = best
+                found = ((d, low + end) for d, end in distances(forward, len(item), text[low:high]) if d <= errors)
+                hits += [(d, end, low) for d, end in found] if whole else [(d, end, low) for d, end in [min(found, default=(errors + 1, 0))] if d <= errors]
+            for distance, end, low in sorted(hits):
                 _, back = myers(backward, len(item), text[low:end][::-1])
-                yield item_id, distance, end - back, end
+                if not whole or _bounded(text, end - back, end):
+                    yield item_id, distance, end - back, end
+                    break
 
 
 def _chunks(benchmark: DataFrame, min_chars: int, chunk_chars: int) -> Iterator[list[tuple[int, str]]]:
     """The items, at most about ``chunk_chars`` characters of them on the driver and in the tasks at a time.
 
-    Null texts and items below ``min_chars`` are left out; rows with one id are items of their own.
+    Null texts, texts without a letter or digit and items below ``min_chars`` are left out; rows with one id are items of their own.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.length("text") >= min_chars)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(
+        (F.length("text") >= min_chars) & F.col("text").rlike(r"[\p{L}\p{N}]"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     chunks = max(1, -(-2 * total // chunk_chars)) if total > chunk_chars else 1
     for chunk in range(chunks):
@@ -128,7 +140,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, error_every: int = ERROR_EVERY,
     """(doc_id, item_id, distance, start, end): the best occurrence of every benchmark item in every document that has it.
 
     An item of n characters occurs where a stretch of the whole text, letters in lower case and blanks alike, is within floor(n / ``error_every``)
-    edits of it. start and end are code points. Every piece hit opens a window that holds any match with that piece in
+    edits of it; for an item below ``WHOLE_WORDS`` characters it may neither begin nor end inside a word. start and end are code points. Every piece hit opens a window that holds any match with that piece in
     place; overlapping windows are verified as one. Of equal distances the leftmost end counts. Null and empty texts
     have no leak; repeated documents have theirs each. A benchmark beyond ``chunk_chars`` is matched chunk by chunk.
     """
@@ -150,7 +162,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, error_every: int = ERROR_EVERY,
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, error_every: int = ERROR_EVERY, min_chars: int = MIN_CHARS, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """The documents, with all their columns, in which no benchmark item occurs."""
+    """The documents, with all their columns, in which no benchmark item occurs. See ``leaks`` for what occurs means.
+
+    Null and empty texts stay, repeated rows stay or go together, an empty table or benchmark drops nothing.
+    """
     for items in _chunks(benchmark, min_chars, chunk_chars):
         held = docs.sparkSession.sparkContext.broadcast(items)
 
