@@ -3,6 +3,7 @@
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,10 +67,14 @@ class Encoder:
     def __init__(self, path: str, plain_specials: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain_specials
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.model, written = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.blank = written(" ")[0][0]  # as the vocabulary's bytes write it
+        self.letters = {i: written(chr(i))[0][0] for i in range(128, 256)}
         self.line_end, = self._library(["\n"])[0]
         self.young, self.old = self._empty(), _Known(self.dtype)
 
@@ -116,11 +121,20 @@ class Encoder:
         if len(self.young.place) > _CACHED:
             self.young, self.old = self._empty(), self.young
         young, old = self.young.place, self.old.place
-        missing = [p for p in pieces if p not in young]
+        known = list(map(young.get, pieces))
+        if None not in known:
+            return np.array(known, np.int64)
+        missing = [p for p, place in zip(pieces, known) if place is None]
         kept = [p for p in missing if p in old]
         if kept:
             self.young.add(kept, *self.old.take(np.array([old[p] for p in kept])))
             missing = [p for p in missing if p not in old]
+        words = [p for p in missing if p.isalpha() and max(p) <= "ÿ"]
+        if words:
+            # Nothing splits words of letters: the library's model alone gives their ids.
+            found = [[token.id for token in self.model.tokenize(self.blank + p.translate(self.letters))] for p in words]
+            self.young.add(words, np.array(list(chain.from_iterable(found)), self.dtype), np.fromiter(map(len, found), np.int64, len(found)))
+            missing = [p for p in missing if p not in young]
         for at in range(0, len(missing), 4096):
             some = missing[at:at + 4096]
             # One to a line; a line end between other characters is split from both.
