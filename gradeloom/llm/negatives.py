@@ -22,6 +22,7 @@ CELL_BYTES = 16 << 20  # of values in a cell
 SHELVES, SHELF_ROWS = 1024, 4096  # at most so many shelves, of so many rows at least
 KEY_DIMS, KEY_BITS = 64, 4  # leading components that place a vector on the curve, and bits of each
 SLICE = 1 << 16  # anchors that visit one copy of a cell, about
+NEAREST = 8  # shelves with the highest bounds, of which a cell is searched before all others
 POSITIVES, NEGATIVES = 5, 3
 _FAR = 1 << 62  # beyond any score
 
@@ -305,8 +306,11 @@ def shelf_boxes(blocks: DataFrame) -> list[tuple]:
     return sorted((r[0], r[1] + 1, r[2], bytes(r[3]), bytes(r[4])) for r in found.collect())
 
 
-def route(asks: DataFrame, boxes: list[tuple]) -> DataFrame:
-    """Each ask once for every cell, other than its own, of the shelves whose box meets one of its windows."""
+def route(asks: DataFrame, boxes: list[tuple], nearest: bool) -> DataFrame:
+    """Each ask once for every cell, other than its own, of the shelves whose box meets one of its windows.
+
+    The first cells of the ``NEAREST`` shelves by upper bound are one part of these, all others the other part.
+    """
     held = asks.sparkSession.sparkContext.broadcast(boxes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,10 +321,13 @@ def route(asks: DataFrame, boxes: list[tuple]) -> DataFrame:
             least, most = zones.bounds(_matrix(column("dims"), column("vector")))
             floors, tops = _windows(batch.column("floors"), 1), _windows(batch.column("tops"), 0)
             home = list(zip(column("shelf"), column("cell")))
+            first = np.zeros(most.shape, bool)
+            np.put_along_axis(first, np.argsort(-most, axis=1, kind="stable")[:, :NEAREST], True, axis=1)
             for at, (shelf, cells, *_) in enumerate(shelves):
                 meets = ((most[:, at, None] >= floors) & (least[:, at, None] <= tops) & (floors <= tops)).any(axis=1)
                 for cell in range(cells):
-                    rows = [i for i in np.flatnonzero(meets).tolist() if home[i] != (shelf, cell)]
+                    wanted = meets & (first[:, at] & (cell == 0) if nearest else ~first[:, at] | (cell > 0))
+                    rows = [i for i in np.flatnonzero(wanted).tolist() if home[i] != (shelf, cell)]
                     if rows:
                         taken = batch.take(pa.array(rows))
                         fixed = {"shelf": shelf, "cell": cell}
@@ -334,17 +341,16 @@ def route(asks: DataFrame, boxes: list[tuple]) -> DataFrame:
 def first_k(blocks: DataFrame, boxes: list[tuple], asks: DataFrame, k: int, same: bool) -> DataFrame:
     """(ask, slot, score, id, rank): the first k rows of all blocks in each window of each ask.
 
-    The cell that an anchor lies in is searched first. The k-th score there is the floor with which the zone maps of the shelves
-    choose where else to look.
+    The cell that an anchor lies in and a few with high bounds are searched first. The k-th score there is the floor with which the
+    zone maps of the shelves choose where else to look, and below which no cell returns a row.
     """
-    near = stored(search(blocks, asks, k, same), "near-rows")
-    reached = near.groupBy("ask", "slot").agg(F.count("*").alias("n"), F.min("score").alias("score")).where(F.col("n") == k)
-    reached = reached.groupBy("ask").agg(F.map_from_entries(F.collect_list(F.struct("slot", "score"))).alias("_reached"))
+    order = Window.partitionBy("ask", "slot").orderBy(F.desc("score"), "id")
+    ranked = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    near = stored(ranked(search(blocks, asks.union(route(asks, boxes, True)), k, same)), "near-rows")
+    reached = near.where(F.col("rank") == k).groupBy("ask").agg(F.map_from_entries(F.collect_list(F.struct("slot", "score"))).alias("_reached"))
     raised = asks.join(reached.hint("merge"), "ask", "left").withColumn("floors", F.transform(
         "floors", lambda floor, i: F.greatest(floor, F.coalesce(F.try_element_at("_reached", i), floor)))).select(*asks.columns)
-    far = search(blocks, route(raised, boxes), k, same)
-    order = Window.partitionBy("ask", "slot").orderBy(F.desc("score"), "id")
-    return near.union(far).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked(near.drop("rank").union(search(blocks, route(raised, boxes, False), k, same)))
 
 
 def window_bounds(score: str) -> tuple[Column, Column]:
