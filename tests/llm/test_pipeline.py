@@ -5,7 +5,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -119,23 +118,13 @@ def test_stages_equal_brute_force(spark, tmp_path):
         want.append((d, begin, len(ids), zlib.crc32(ids.tobytes())))
         begin += len(ids)
     assert sorted((tuple(r) for r in outputs[4].collect()), key=lambda r: r[1]) == want
-
-
-def test_run_gives_what_the_stages_give(spark, tmp_path):
-    folder = str(tmp_path)
-    corpus(folder, spark)
-    one, two = (sorted(tuple(r) for r in corpus_pipeline.run(spark, folder).drop("doc_id").collect()) for _ in range(2))
-    assert one == two and one
+    assert sorted((tuple(r) for r in corpus_pipeline.run(spark, folder).collect()), key=lambda r: r[1]) == want  # a rerun agrees
 
 
 def test_pipeline_of_empty_tables(spark, tmp_path):
-    corpus(str(tmp_path), spark, empty=True)
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
-
-
-@pytest.mark.parametrize("stage", range(4))
-def test_every_stage_keeps_columns_of_an_empty_table(spark, tmp_path, stage):
     corpus(str(tmp_path), spark, empty=True)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    found = corpus_pipeline.STAGES[stage][1](spark, docs, str(tmp_path))
-    assert found.columns == docs.columns and found.count() == 0
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        found = stage(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns and found.count() == 0, name
+    assert corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).count() == 0
