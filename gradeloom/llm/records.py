@@ -45,7 +45,7 @@ def unframe(buffer: bytes, at: int = 0) -> tuple[bytes, int]:
     return data, at + 16 + size
 
 
-def write_records(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+def write_records(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Write the ids of all texts, each with the end id, in ascending order of doc_id (null first).
 
     Gives the manifest (part, file, records, ids): parts ascend as the ids do, and each has one file. The one shuffle moves texts to
@@ -56,7 +56,7 @@ def write_records(docs: DataFrame, folder: str, path: str | None = None, end_id:
             .repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task = encoder(path), TaskContext.get()
+        coder, task = encoder(path, False, sizes), TaskContext.get()
         system, root = shared_folder(folder)
         file, end = f"{root}/records-{task.partitionId():05d}-{task.taskAttemptId()}", np.array([end_id], coder.dtype).tobytes()
         offsets, ids = [len(HEADER) + 1], 0
@@ -127,11 +127,13 @@ def read_digests(manifest: DataFrame, folder: str) -> DataFrame:
     return placed.repartition(max(1, manifest.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def token_records(docs: DataFrame, path: str | None = None) -> DataFrame:
+def token_records(docs: DataFrame, path: str | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Write all documents as records and read them back: (doc_id, start, n_tokens, ids_crc32).
 
+    ``sizes`` is how many pieces an encoder remembers and how many bytes it cuts at a time; results don't depend on it.
+
     A null or empty text has the end id alone. Null ids come first; rows with one id are in order of text, and repeated rows
     are records of their own. An empty table gives no file and no rows.
     """
     folder = scratch_path(docs.sparkSession, "records")
-    return read_digests(write_records(docs, folder, path), folder)
+    return read_digests(write_records(docs, folder, path, sizes=sizes), folder)

@@ -22,6 +22,7 @@ BLOCK_BYTES = 4 << 20
 
 _CACHED = 300_000  # pieces in each of two generations
 _CALL_BYTES = 2 << 20  # of text that is cut into pieces at a time
+SMALL = (200_000, 1 << 20)  # the same two for workers with little memory to spare: 100 MB less each, and a fifth more time
 #: Texts that are not cut into pieces have other blanks or the markers used below, two blanks in a row, or special tokens.
 _UNEVEN = ("[\\x00\\x01\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200d}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{2060}"
            "\\x{3000}\\x{feff}]|  |\n\n| \n|\n |<\\|")
@@ -64,7 +65,8 @@ class Encoder:
     pieces still in use are taken over.
     """
 
-    def __init__(self, path: str, plain_specials: bool):
+    def __init__(self, path: str, plain_specials: bool, sizes: tuple[int, int] | None = None):
+        self.cached, self.call_bytes = sizes or (_CACHED, _CALL_BYTES)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -93,9 +95,10 @@ class Encoder:
         sizes, out, row = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)), [], 0
         while row < len(column):
             done = int(sizes[row - 1]) if row else 0
-            end = max(row + 1, int(np.searchsorted(sizes, done + _CALL_BYTES, "right")))
+            end = max(row + 1, int(np.searchsorted(sizes, done + self.call_bytes, "right")))
             out += self._column(column.slice(row, end - row))
             row = end
+        pa.default_memory_pool().release_unused()  # a worker keeps for other tasks what Arrow doesn't give back
         return out
 
     def _column(self, column: pa.Array) -> list[bytes]:
@@ -118,7 +121,7 @@ class Encoder:
 
     def _places(self, pieces: list[str]) -> np.ndarray:
         """Where the young generation has these different pieces, once it has learnt them."""
-        if len(self.young.place) > _CACHED:
+        if len(self.young.place) > self.cached:
             self.young, self.old = self._empty(), self.young
         young, old = self.young.place, self.old.place
         known = list(map(young.get, pieces))
@@ -147,9 +150,9 @@ class Encoder:
 
 
 @lru_cache(4)
-def encoder(path: str, plain_specials: bool = False) -> Encoder:
+def encoder(path: str, plain_specials: bool = False, sizes: tuple[int, int] | None = None) -> Encoder:
     """One encoder for each worker process, kept over tasks."""
-    return Encoder(path, plain_specials)
+    return Encoder(path, plain_specials, sizes)
 
 
 def encoded(batch: pa.RecordBatch, coder: Encoder) -> Iterator[tuple[int | None, bytes]]:
