@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gradeloom.llm import decontaminate, mixing, quality, records, sigtree
 from gradeloom.llm.shared import bounded_batches, documents, stored
+from gradeloom.llm.tokens import SMALL
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,7 @@ def token_records(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null ids come first, rows with one id in order of text; repeated rows are records of their own.
     """
     bounded_batches(spark)
-    return records.token_records(docs)
+    return records.token_records(docs, sizes=SMALL)
 
 
 STAGES = [("quality classifier", good_quality), ("n-gram Jaccard join", one_of_each), ("benchmark decontamination", without_leaks),
