@@ -8,7 +8,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import parts, whole_text
+from .shared import parts, tidy, whole_text
 
 ERROR_EVERY = 12  # characters of an item for each allowed edit
 MIN_CHARS = 1  # of an item
@@ -149,6 +149,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, error_every: int = ERROR_EVERY,
     for items in _chunks(benchmark, min_chars, chunk_chars):
         held = context.broadcast(items)
 
+        @tidy
         def match(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(held.value, error_every)
             for batch in parts(batches):
@@ -169,6 +170,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, error_every: int = ERROR_E
     for items in _chunks(benchmark, min_chars, chunk_chars):
         held = docs.sparkSession.sparkContext.broadcast(items)
 
+        @tidy
         def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(held.value, error_every)
             for batch in parts(batches):

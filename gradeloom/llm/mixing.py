@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import running_start, stored, whole_text
+from .shared import running_start, stored, tidy, whole_text
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 32
@@ -115,6 +115,7 @@ def draw_blocks(plan: DataFrame, shard_blocks: int = SHARD_BLOCKS, seed: int = 0
     """
     slots = plan.agg(F.sum("slots")).first()[0] or 0
 
+    @tidy
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for number, blocks, shard, start, count in part.itertuples(index=False, name=None):
@@ -199,6 +200,7 @@ def mixed_documents(docs: DataFrame, block_words: int = 256, **options) -> DataF
     joined = left.join(right.hint("merge"), same).select("d.row.*", F.struct("c.pieces").alias("_cut" + "_" * max(map(len, docs.columns))))
     word, fields = re.compile(WORD), docs.columns
 
+    @tidy
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [_cut(word, text, cut["pieces"]) for text, cut in zip(batch.column("text").to_pylist(), batch.column(len(fields)).to_pylist())]

@@ -8,7 +8,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import text_slices, whole_text
+from .shared import text_slices, tidy, whole_text
 from .words import LOWER, mix, range_hash, word_spans
 
 BITS = 18
@@ -93,6 +93,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     rows = whole_text(docs, "doc_id").join(F.broadcast(known), "doc_id")
 
+    @tidy
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks = batch.column("doc_id").to_pylist(), batch.column("label").to_pylist()
@@ -131,6 +132,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
     Null and empty texts have the score of the bias. Repeated rows are scored each; an empty table gives no rows.
     """
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = _batch_scores(model, batch)
@@ -148,6 +150,7 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
 
     A null text is scored as an empty one, repeated rows stay or go together, an empty table gives none.
     """
+    @tidy
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_batch_scores(model, batch) >= THRESHOLD))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from gradeloom.sources.scratch import scratch_path
 
-from .shared import stored, whole_text
+from .shared import stored, tidy, whole_text
 from .tokens import encoded, encoder, shared_folder, vocabulary_path
 
 HEADER = b"TOKENREC"
@@ -55,6 +55,7 @@ def write_records(docs: DataFrame, folder: str, path: str | None = None, end_id:
     rows = (whole_text(docs, F.col("doc_id").cast("long").alias("doc_id"))
             .repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text"))
 
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, task = encoder(path, False, sizes), TaskContext.get()
         system, root = shared_folder(folder)
@@ -68,6 +69,8 @@ def write_records(docs: DataFrame, folder: str, path: str | None = None, end_id:
                     out.write(record)
                     offsets.append(offsets[-1] + len(record))
                     ids += len(data) // coder.dtype.itemsize + 1
+        if sizes:
+            coder.forget()
         with system.open_output_stream(f"{file}.idx") as out:
             out.write(np.array(offsets, "<i8").tobytes())
         if ids:
@@ -114,6 +117,7 @@ def read_digests(manifest: DataFrame, folder: str) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
+    @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = shared_folder(folder)
         for batch in batches:
@@ -130,7 +134,8 @@ def read_digests(manifest: DataFrame, folder: str) -> DataFrame:
 def token_records(docs: DataFrame, path: str | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Write all documents as records and read them back: (doc_id, start, n_tokens, ids_crc32).
 
-    ``sizes`` is how many pieces an encoder remembers and how many bytes it cuts at a time; results don't depend on it.
+    ``sizes`` is how many pieces an encoder remembers and how many bytes it cuts at a time; where it is given, an encoder remembers
+    none from one task to the next. Results don't depend on it.
 
     A null or empty text has the end id alone. Null ids come first; rows with one id are in order of text, and repeated rows
     are records of their own. An empty table gives no file and no rows.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import connected_components
 from .filters import id_bitmap, maybe_in, without_ids
-from .shared import release, stored, text_slices, whole_text
+from .shared import release, stored, text_slices, tidy, whole_text
 from .words import distinct, mix, range_hash, shingle_hashes, word_hashes
 
 LEVEL_BITS = 18  # counters of how often shingles occur
@@ -30,6 +30,7 @@ def shingle_levels(docs: DataFrame, size: int) -> np.ndarray:
     """
     slices, cells = 64, (1 << LEVEL_BITS) // 64
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << LEVEL_BITS, np.int64)
         for batch in batches:
@@ -57,6 +58,7 @@ def prefix_rows(docs: DataFrame, size: int, percent: int, levels: np.ndarray) ->
     """
     held = docs.sparkSession.sparkContext.broadcast(levels)
 
+    @tidy
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
@@ -176,6 +178,7 @@ def _join_blocks(percent: int, exact: bool):
         if other.any():
             yield pa.RecordBatch.from_arrays([pa.array(names[other]), pa.array(names[labels][other])], ["a", "b"])
 
+    @tidy
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block = None, ([], [], [])
         for batch in batches:
@@ -226,6 +229,7 @@ def similar_links(docs: DataFrame, classes: DataFrame, size: int, percent: int)
     held = members.select(F.col("id").alias("doc_id"))
     texts = maybe_in(whole_text(docs, F.col("doc_id").cast("long").alias("doc_id")), "doc_id", id_bitmap(held, "doc_id"))
 
+    @tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end, data, offsets in text_slices(batch):

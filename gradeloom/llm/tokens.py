@@ -101,6 +101,10 @@ class Encoder:
         pa.default_memory_pool().release_unused()  # a worker keeps for other tasks what Arrow doesn't give back
         return out
 
+    def forget(self) -> None:
+        """Drop the pieces met so far: the worker that holds this encoder may do other work for long."""
+        self.young, self.old = self._empty(), _Known(self.dtype)
+
     def _column(self, column: pa.Array) -> list[bytes]:
         uneven = pc.match_substring_regex(column, _UNEVEN)
         whole = np.flatnonzero(uneven.to_numpy(zero_copy_only=False))

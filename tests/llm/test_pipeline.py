@@ -1,15 +1,17 @@
 """The five stages of the corpus pipeline, each against a brute-force version on what the one before kept."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gradeloom.llm import decontaminate, mixing, quality, tokens
-from gradeloom.llm.shared import string_slices
+from gradeloom.llm import decontaminate, mixing, quality, records, tokens
+from gradeloom.llm.shared import string_slices, tidy
 from tests.llm import reference as ref
 from tests.llm.test_quality_updates import plain_ftrl
 
@@ -128,3 +130,36 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
         found = stage(spark, docs, str(tmp_path))
         assert found.columns == docs.columns and found.count() == 0, name
     assert corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).count() == 0
+
+
+def resident() -> int:
+    """Bytes of memory this process holds beside mapped files."""
+    return 1024 * int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1])
+
+
+def test_workers_keep_no_memory_from_one_task_to_the_next(spark, tmp_path):
+    path, before = tokens.vocabulary_path(), []
+
+    @tidy
+    def fill(batches):
+        before.append(resident())
+        held = [bytes(range(256)) * 4 for _ in range(200_000)] + [object()]
+        before.append(resident())
+        yield len(held)
+
+    assert list(fill(iter([]))) == [200_001]
+    assert before[1] - before[0] > 150e6 and resident() - before[0] < 50e6
+    docs = spark.createDataFrame([(i, f"word{i} is number {i}") for i in range(300)], "doc_id long, text string")
+
+    def held(batches):
+        for batch in batches:
+            coder = tokens.encoder(path, False, tokens.SMALL)
+            yield batch.slice(0, 1).set_column(0, "doc_id", pa.array([len(coder.young.place) + len(coder.old.place)]))
+
+    records.write_records(docs.coalesce(1), f"{tmp_path}/records", sizes=tokens.SMALL).collect()
+    found = docs.coalesce(1).mapInArrow(held, docs.schema).collect()
+    assert found and max(r.doc_id for r in found) < 10
+    coder = tokens.encoder(path, False, tokens.SMALL)
+    first = coder.encode([r.text for r in docs.limit(9).collect()])
+    coder.forget()
+    assert coder.encode([r.text for r in docs.limit(9).collect()]) == first
