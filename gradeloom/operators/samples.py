@@ -10,13 +10,14 @@ def with_row_position(df: DataFrame, column: str = "sample_idx") -> DataFrame:
 
     Files count in the order of their paths, rows by their index in the file, so
     no row is sorted or shuffled: only one count per file is gathered, and the
-    running total over those counts is the first position of each file.
+    running total over those counts is the first position of each file. These are
+    broadcast, as a join by shuffle would send all rows of a file to one task.
     """
     placed = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.col("_metadata.row_index"))
     sizes = df.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count("*").alias("_rows"))
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    return (placed.join(starts, "_file")
+    return (placed.join(F.broadcast(starts), "_file")
             .withColumn(column, F.col("_start") + F.col("_row"))
             .drop("_file", "_row", "_start"))
 
@@ -26,7 +27,7 @@ def with_text_position(df: DataFrame, column: str = "sample_idx") -> DataFrame:
 
     Files count in the order of their paths. A scan reads the blocks of a file in any order, but the rows of a block as they stand: each
     gets a number that rises within its block. One row per block is gathered, with how many rows the block has, and the running
-    total over them is the position of a block's first row. Rows themselves are neither sorted nor shuffled for it.
+    total over them is the position of a block's first row. These are broadcast: rows themselves are neither sorted nor shuffled.
     """
     names = df.columns
     placed = df.select(
@@ -38,7 +39,7 @@ def with_text_position(df: DataFrame, column: str = "sample_idx") -> DataFrame:
     before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.where(F.col("_hash").isNotNull()).select(
         "_file", "_block", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    return (placed.join(starts, ["_file", "_block"])
+    return (placed.join(F.broadcast(starts), ["_file", "_block"])
             .withColumn(column, F.col("_start") + F.col("_at") - F.col("_first"))
             .select(*names, column))
 

@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from gradeloom.catalog import queries
 from gradeloom.operators.samples import first_n, with_gold
 from gradeloom.sources import scratch
 from gradeloom.sources.datasets import read_dataset, read_samples
@@ -79,3 +80,25 @@ def test_scratch_paths_are_new_and_can_be_cleared(spark, tmp_path, monkeypatch):
     scratch.clear_scratch(spark)
     assert list((tmp_path / "shared").iterdir()) == []
     scratch.clear_scratch(spark)
+
+
+def test_question_sets_are_written_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, i * 1.5) for i in range(400)], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i, f"{i} " * 100, "en") for i in range(300)], "doc_id long, text string, lang string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(queries, "FILE_BYTES", 4000, raising=False)
+    numeric, boolean = queries._sample_files(spark, str(tmp_path))
+    assert numeric.rdd.getNumPartitions() >= 3 and boolean.rdd.getNumPartitions() > 15
+    for read in (queries.read_samples, queries.read_text_samples):
+        found = {(r.dataset, r.sample_idx): r.question for r in read(spark, str(tmp_path)).collect()}
+        assert len(found) == 700 and found["strategyqa", 299].split() == ["299"] * 100 and found["gsm8k", 399] == "Order 399"
+
+
+def test_rows_are_not_shuffled_for_their_positions(spark, tmp_path, monkeypatch):
+    spark.range(50).select(F.col("id").cast("string").alias("question"), F.lit("a").alias("answer")).repartition(5).write.json(f"{tmp_path}/json")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = read_dataset(spark, "gsm8k", f"{tmp_path}/json", "json")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
