@@ -11,6 +11,7 @@ from gradeloom.lookups import STRATEGIES
 from gradeloom.sources.tables import read_table
 
 PATHS = 5
+TASK_ROWS = 50_000  # short rows that a task turns into generations
 VECTOR_DIM = 8
 
 
@@ -100,6 +101,8 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     boolean = boolean_runs(documents, table(spark, sf_dir, "labels"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    # A few bytes an order become texts to be searched: tasks by rows, as those by bytes would be few and long.
+    orders = orders.repartition(max(1, -(-orders.count() // TASK_ROWS)))
     return numeric_runs(orders).unionByName(boolean)
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, functions as F
 from gradeloom.functions.text import bind, empty_to_null, strip
 from gradeloom.lookups import FLOAT_TEXT, NUMERIC_TOLERANCE
 
+FEW_SHARED = 4  # different tokens in common up to which their order is compared without a search
+
 
 def exact_match(predicted: Column, gold: Column) -> Column:
     return ((predicted == gold) & (predicted != "")).cast("int")
@@ -68,6 +70,9 @@ def common_tokens(p: Column, r: Column) -> Column:
     def hits(shared: Column) -> Column:
         return (F.when(F.size(shared) == 0, 0)
                 .when((F.size(p) == 1) | (F.size(r) == 1), 1)
+                # Where one side repeats no token, each shared one counts once.
+                .when(F.size(F.array_distinct(r)) == F.size(r), F.size(shared))
+                .when(F.size(F.array_distinct(p)) == F.size(p), F.size(shared))
                 .otherwise(_merged_hits(p, r)))
 
     return bind(F.array_intersect(p, r), hits)
@@ -112,9 +117,26 @@ def _lcs_words(left: Column, right: Column) -> Column:
     return lcs(left, right)
 
 
-def lcs_length(p: Column, r: Column) -> Column:
+def evident_lcs(p: Column, r: Column) -> Column:
+    """LCS of two token arrays where it needs no search, else NULL: nothing shared, one token on a side,
+    or few shared tokens that stand in the same order on both sides."""
+    def length(shared: Column) -> Column:
+        kept = lambda side: F.filter(side, lambda t: F.array_contains(shared, t))
+        easy = (F.when(F.size(shared) == 0, 0)
+                .when((F.size(p) == 1) | (F.size(r) == 1), 1)
+                .when(F.size(shared) <= FEW_SHARED, bind(kept(p), lambda left: F.when(left == kept(r), F.size(left)))))
+        return F.when(shared.isNotNull(), easy)
+
+    return bind(F.array_intersect(p, r), length)
+
+
+def lcs_length(p: Column, r: Column, evident: Column | None = None) -> Column:
     """LCS of two token arrays. Python sees only rows whose answer is not evident:
-    both sides longer than one token and sharing at least one."""
+    both sides longer than one token and sharing at least one; where ``evident`` is
+    given, a column made by ``evident_lcs``, those that it leaves NULL."""
+    if evident is not None:
+        hard = evident.isNull() & p.isNotNull() & r.isNotNull()
+        return F.coalesce(evident, _lcs_words(F.when(hard, F.array_join(p, " ")), F.when(hard, F.array_join(r, " "))))
     hard = F.arrays_overlap(p, r) & (F.size(p) > 1) & (F.size(r) > 1)
     dynamic = _lcs_words(F.when(hard, F.array_join(p, " ")), F.when(hard, F.array_join(r, " ")))
     return F.coalesce(dynamic, F.arrays_overlap(p, r).cast("int"))

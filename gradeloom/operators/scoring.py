@@ -31,11 +31,12 @@ def with_overlap(rows: DataFrame, reference: str) -> DataFrame:
     """token_f1 and rouge_l of ``generation`` against a reference column."""
     p, r = F.col("_p"), F.col("_r")
     split = compute_once(rows, _p=tokens(F.col("generation")), _r=tokens(F.col(reference)))
-    counted = compute_once(split, _common=M.common_tokens(p, r), _lcs=M.lcs_length(p, r), _n=F.size(p), _m=F.size(r))
+    counted = compute_once(split, _common=M.common_tokens(p, r), _easy=M.evident_lcs(p, r), _n=F.size(p), _m=F.size(r))
+    counted = compute_once(counted, _lcs=M.lcs_length(p, r, F.col("_easy")))
     return (counted
             .withColumn("token_f1", M.f1(F.col("_common"), F.col("_n"), F.col("_m")))
             .withColumn("rouge_l", M.f1(F.col("_lcs"), F.col("_n"), F.col("_m")))
-            .drop("_p", "_r", "_common", "_lcs", "_n", "_m"))
+            .drop("_p", "_r", "_common", "_easy", "_lcs", "_n", "_m"))
 
 
 def score_rows(rows: DataFrame) -> DataFrame:

@@ -114,3 +114,31 @@ def test_embedding_f1(spark):
     assert got[:2] == [pytest.approx(1.0), pytest.approx(1.0)]
     assert got[2] == pytest.approx(0.5 ** 0.5)
     assert got[3:] == [None, None, 0.0]
+
+
+def test_overlap_of_short_arrays_needs_no_search(spark):
+    rng = random.Random(4)
+    words = lambda: [rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))]
+    rows = [(words(), words()) for _ in range(600)] + [(None, ["a"]), (["a"], None), (None, None)]
+
+    def lcs(a, b):
+        line = [0] * (len(b) + 1)
+        for x in a:
+            before = line
+            line = [0]
+            for j, y in enumerate(b):
+                line.append(before[j] + 1 if x == y else max(line[j], before[j + 1]))
+        return line[-1]
+
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, p array<string>, r array<string>")
+    p, r = F.col("p"), F.col("r")
+    easy = df.withColumn("easy", M.evident_lcs(p, r)).withColumn("common", M.common_tokens(p, r))
+    found = easy.withColumn("lcs", M.lcs_length(p, r, F.col("easy"))).orderBy("i").collect()
+    for row, (a, b) in zip(found, rows):
+        if a is None or b is None:
+            assert row.easy is None and row.lcs is None
+            continue
+        assert row.lcs == lcs(a, b) and row.easy in (None, row.lcs)
+        assert row.common == sum((Counter(a) & Counter(b)).values())
+    plain = spark.createDataFrame([(["the", "total", "is", "7"], ["add", "the", "items", "7"])], "p array<string>, r array<string>")
+    assert plain.select(M.evident_lcs(p, r)).first()[0] == 2
